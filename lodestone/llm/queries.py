@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, jaccard, packing, quality, secrets, tokens
+from lodestone.llm import decontam, jaccard, linededup, packing, quality, secrets, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,3 +54,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("n_dropped_lines").alias("n_dropped"), F.length("text").cast("long").alias("n_left_chars"), F.sha2("text", 256).alias("text_sha256"))
