@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lodestone.llm.common import mapped, table_batch, texts, whole
+from lodestone.llm.common import mapped, texts
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE = 13, 1 << 19, 1 << 20, 8
 #: Words are runs of 0-9, a-z (A-Z lower-cased) and all that is not ASCII.
@@ -146,8 +147,8 @@ class Phrases:
             yield size, items, own, stay[at]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """id, n_words, n_hit, items (sorted ids) and spans (code points to remove, merged) of every document."""
+def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The columns of `keep` and the struct `hits` of every document: n_words, n_hit, items (sorted ids) and spans (code points to remove, merged)."""
     spark = docs.sparkSession
     blocks, size = [[]], 0
     for row in benchmark.select(item_col, F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
@@ -159,8 +160,10 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col:
         blocks[-1].append((row[0], text))
         size += n
     held = [spark.sparkContext.broadcast(Phrases(block, window)) for block in blocks]
-    ddl_id = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    fields = [pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()), pa.field("items", pa.list_(pa.int64())), pa.field("spans", pa.list_(span))]
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("hits struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<start:bigint,end:bigint>>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, data, words = [], [], []
@@ -192,16 +195,16 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col:
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[k] : first[k] + sizes[k]].astype(np.int8), [0]])))
                     own = [{"start": at[b][0], "end": at[e - 1][1]} for b, e in zip(edge[::2], edge[1::2], strict=True)]
                 spans.append(own)
-            kind = names[0].type
-            out = [pa.concat_arrays(names), sizes, n_hit.astype(np.int64), [sorted(x) for x in items], spans]
-            return table_batch(pa.schema([(id_col, kind), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(span))]), out)
+            hits = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((sizes, n_hit.astype(np.int64), [sorted(x) for x in items], spans), fields, strict=True)], fields=fields)
+            kept = [pa.concat_arrays(c) for c in zip(*names, strict=True)]
+            return pa.RecordBatch.from_arrays([*kept, hits], names=[*keep, "hits"])
 
         seen = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = texts(batch, 1)
-            names.append(batch.column(0))
+            own = texts(batch, 0)
+            names.append(batch.columns[1:])
             data += own
             words += map(words_of, own)
             seen += sum(map(len, words[-len(own) :]))
@@ -211,14 +214,14 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col:
         if names:
             yield shard()
 
-    return mapped(whole(docs, id_col, text_col), run, f"`{id_col}` {ddl_id}, n_words long, n_hit long, items array<bigint>, spans array<struct<start:bigint,end:bigint>>")
+    return mapped(docs.select(F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in keep]), run, schema)
 
 
 def contaminated():
     """At least one word in twenty is hit."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (F.col("hits")["n_hit"] > 0) & (20 * F.col("hits")["n_hit"] >= F.col("hits")["n_words"])
 
 
 def digest(found: DataFrame) -> DataFrame:
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    ids = F.array_join(F.array_sort(F.transform("hits.items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated().alias("contaminated"))
