@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, jaccard, linededup, packing, quality, secrets, tokens
+from lodestone.llm import decontam, jaccard, linededup, lm, packing, quality, secrets, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,6 +46,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=2, keep_ids=False).drop("ids")
 
 
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]))
