@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, jaccard, linededup, lm, packing, quality, secrets, tokens
+from lodestone.llm import decontam, jaccard, linededup, lm, packing, pii, quality, secrets, tokens, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,6 +46,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=2, keep_ids=False).drop("ids")
 
 
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), "production-key")
+    counts = [F.size(F.expr(f"filter(entities, e -> e.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return done.select("doc_id", "text", *counts)
+
+
 @query("op7_lm_scoring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
