@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.plans.registry import ORACLES, QUERIES
+
+from lodestone.plans import agreement, design, evidence, relational, streams, texts  # noqa: F401, I001  register themselves
+
+__all__ = ["ORACLES", "QUERIES"]
