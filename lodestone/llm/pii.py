@@ -32,11 +32,11 @@ PATTERN = "|".join(
     (
         r"(?<![\p{L}\p{Nd}._%+-])[\p{L}\p{Nd}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-        r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![\p{L}\d])",
+        r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<![\d])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)",
         r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d+.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-        rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+        rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: (?!(?:{_TITLE})\b)\p{{Lu}}\p{{Ll}}+)?",
     )
 )
 COUNTRY = r"^\+\d{1,3}(?=[ .(-])"
