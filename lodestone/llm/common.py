@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,12 +42,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: the lineage is cut, and a lost executor loses nothing."""
+_tables: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Write a table in the shared folder and read it again: the lineage is cut, and a lost executor loses nothing.
+
+    free() deletes it when it is used up, release() all that are left but those written to keep.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if not keep:
+        _tables[path] = spark
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _tables.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    for frame in frames:
+        _delete(frame._written)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
+
+
+def release() -> None:
+    """Delete all written tables of this process: for a pipeline whose last stage's result is stored."""
+    for path in list(_tables):
+        _delete(path)
 
 
 def whole(docs: DataFrame, *cols: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import free, written
 
 MIN_WORDS, NEAR_WORDS = 5, 8
 #: Words of 64 bits in a table that tells which rows are worth a shuffle; wrong hits are joined away.
@@ -112,13 +112,16 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = found.select("at", F.expr("CASE kind WHEN 'f' THEN d WHEN 'd' THEN f ELSE s END").alias("other")).where("other < at").distinct()
     pairs = found.join(lines, "at").select("at", "other", F.col("w").alias("x")).join(lines.select(F.col("at").alias("other"), F.col("w").alias("y")), "other")
     near = pairs.where(within_one(F.col("x"), F.col("y"))).select("at")
-    return written(equal.unionAll(near).distinct().select("at.doc", "at.line"), "dropped")
+    dropped = written(equal.unionAll(near).distinct().select("at.doc", "at.line"), "dropped")
+    free(table, classes, shared, able, lines, keys)
+    return dropped
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "n_dropped_lines") -> DataFrame:
     """All rows of the input, their texts without the dropped lines, and how many lines were dropped."""
     dropped = dropped_lines(docs, id_col=id_col, text_col=text_col)
     by_doc = written(dropped.groupBy("doc").agg(F.collect_set("line").alias("lines")), "by_doc")  # bounded by a document's own lines
+    free(dropped)
     held, columns = _table(by_doc, "doc"), docs.columns
     key, lines = _free(docs, "_d_key"), _free(docs, "_d_lines")
     own = docs.withColumn(key, F.col(f"`{id_col}`"))
