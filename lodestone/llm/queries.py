@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, jaccard, linededup, lm, packing, pii, quality, secrets, tokens, urls
+from lodestone.llm import decontam, jaccard, linededup, lm, oracles, packing, pii, quality, secrets, tokens, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_ngram_jaccard")
+@query("op1_ngram_jaccard", oracles.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -46,7 +46,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=2, keep_ids=False).drop("ids")
 
 
-@query("op5_url_filter")
+@query("op5_url_filter", oracles.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -63,17 +63,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", oracles.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
-@query("op9_decontamination")
+@query("op9_decontamination", oracles.OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-@query("op10_line_dedup")
+@query("op10_line_dedup", oracles.OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("n_dropped_lines").alias("n_dropped"), F.length("text").cast("long").alias("n_left_chars"), F.sha2("text", 256).alias("text_sha256"))
