@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, by DataFrame functions alone.
 
-Lines are compared by their words (ASCII lower case). A line of at least MIN_WORDS words is dropped if an equal line
+Lines are compared by their words in lower case. A line of at least MIN_WORDS words is dropped if an equal line
 comes earlier in the corpus; one of at least NEAR_WORDS words also if an earlier line is within one edit, where an edit
 inserts, deletes or replaces one word. "Earlier" is by id, then line number; whether the earlier line is itself dropped
 doesn't matter, so the result doesn't depend on any order of work.
@@ -23,49 +23,59 @@ from lodestone.llm.common import free, written
 
 MIN_WORDS, NEAR_WORDS = 5, 8
 #: Words of 64 bits in a table that tells which rows are worth a shuffle; wrong hits are joined away.
-TABLE_LONGS = 1 << 17
+TABLE_LONGS = 1 << 19
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    h = F.xxhash64(key, F.lit("slot"))
+def _slot(*key: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(*key, F.lit("slot"))
     return F.pmod(h, F.lit(TABLE_LONGS)).cast("int"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _table(keys: DataFrame, key: str) -> DataFrame:
+def _table(keys: DataFrame, *key: str) -> DataFrame:
     """One row: an array of TABLE_LONGS numbers with a bit for each key. Its size is fixed."""
-    slot, bit = _slot(F.col(key))
+    slot, bit = _slot(*map(F.col, key))
     rows = keys.select(slot.alias("s"), F.expr("1L").alias("one"), bit.alias("b")).groupBy("s").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("w"))
     every = keys.sparkSession.range(0, TABLE_LONGS, 1, 8).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("w"))
     full = rows.unionByName(every).groupBy("s").agg(F.bit_or("w").alias("w"))
     return written(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "w"))), lambda x: x["w"]).alias("t")), "bits")
 
 
-def _may_have(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    slot, bit = _slot(F.col(key))
+def _may_have(df: DataFrame, table: DataFrame, *key: str) -> DataFrame:
+    slot, bit = _slot(*map(F.col, key))
     return df.where(F.getbit(F.get(table.scalar(), slot), bit) == 1)
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The words of a line in lower case; a line without any has one empty word."""
+    return F.split(F.regexp_replace(F.lower(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "t"))
-    return own.select("doc", "line", words_of(F.col("t")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    return docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "t"))
+
+
+def _half(short: Column) -> Column:
+    """How many words a half has, for a pair whose shorter line has so many."""
+    return F.floor((short - 1) / 2).cast("int")
 
 
 def _half_keys() -> Column:
-    """Keys of a line's first and last words, as the shorter (or equal) and as the longer line of a pair."""
+    """(side, key) of a line's first (0) and last (1) words, as the shorter (or equal) and as the longer line of a pair."""
     keys = []
     for short in (F.size("w"), F.size("w") - 1):
-        h = F.floor((short - 1) / 2).cast("int")
+        h = _half(short)
         keys += [F.xxhash64(short, F.lit(0), F.slice("w", 1, h)), F.xxhash64(short, F.lit(1), F.slice("w", F.size("w") - h + 1, h))]
     return F.when(F.size("w") >= NEAR_WORDS, F.array(*keys))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, kind, at): kind "f" is the line, "d" the line without a word, "s" that at the word's place."""
-    each = lines.select("at", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("i"))
+    """(key, kind, at): kind "f" is the line, "d" the line without a word, "s" that at the word's place.
+
+    A pair that shares its first half differs after it, one that shares its last half before it: words of a half that
+    is only shared are not left out.
+    """
+    h = _half(F.size("w") - 1)
+    each = lines.select("at", "w", F.explode(F.concat(F.array(F.lit(0)), F.sequence(F.when(F.col("last"), 1).otherwise(h + 1), F.when(F.col("first"), F.size("w")).otherwise(F.size("w") - h)))).alias("i"))
     shorter = F.xxhash64(F.when(F.col("i") == 0, F.col("w")).otherwise(F.concat(F.slice("w", 1, F.col("i") - 1), F.slice("w", F.col("i") + 1, F.size("w")))))
     each = each.select("at", "i", shorter.alias("v"))
     kinds = F.when(F.col("i") == 0, F.array(F.struct(F.lit("f").alias("kind"), F.col("v").alias("key")))).otherwise(
@@ -89,19 +99,19 @@ def within_one(a: Column, b: Column) -> Column:
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line) of all lines that are dropped; line numbers count from 0."""
     at = F.struct("doc", "line").alias("at")
-    table = _lines(docs, id_col, text_col).select(at, F.xxhash64("w").alias("h"), F.hash("w").alias("g"), _half_keys().alias("halves"))
-    table = written(table, "lines")
-    classes = table.groupBy("h", "g").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.any_value("halves").alias("halves"))
-    classes = written(classes, "classes")
-    often = classes.where("first < last").select("h", "g", "first")
-    equal = table.select("h", "g", "at").join(often, ["h", "g"]).where("at > first").select("at")
-
-    # lines that share a half with another line
-    halves = classes.where("halves is not null").select("h", "g", "first", F.explode("halves").alias("half"))
-    shared = written(halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("half"), "halves")
-    able = written(_may_have(halves, _table(shared, "half"), "half").join(shared, "half").select("first", "h").distinct(), "able")
-    lines = _may_have(_lines(docs, id_col, text_col).withColumn("h", F.xxhash64("w")), _table(able, "h"), "h").select(at, "w")
-    lines = written(lines.join(able.select(F.col("first").alias("at")), "at", "left_semi"), "near")
+    own = _lines(docs, id_col, text_col).select("doc", "line", words_of(F.col("t")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    table = written(own.select(at, F.xxhash64("w").alias("h"), F.hash("w").alias("g"), _half_keys().alias("halves")), "lines")
+    often = table.groupBy("h", "g").agg(F.min("at").alias("lead"), F.max("at").alias("last")).where("lead < last").select("h", "g", "lead")
+    often = written(often, "often")
+    equal = table.select("h", "g", "at").join(often, ["h", "g"]).where("at > lead").select("at")
+
+    # lines that share a half with another line, and which half
+    halves = table.where("halves is not null").select("h", "g", "at", F.posexplode("halves").alias("side", "half"))
+    shared = written(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half"), "halves")
+    able = _may_have(halves, _table(shared, "half"), "half").join(shared, "half").groupBy("h", "g").agg(F.min("at").alias("at"), F.bool_or(F.col("side") % 2 == 0).alias("first"), F.bool_or(F.col("side") % 2 == 1).alias("last"))
+    able = written(able.select("at.doc", "at.line", "first", "last"), "able")
+    lines = _may_have(_lines(docs, id_col, text_col), _table(able, "doc", "line"), "doc", "line")
+    lines = written(lines.join(able, ["doc", "line"]).select(at, words_of(F.col("t")).alias("w"), "first", "last"), "near")
 
     # the deletion neighbourhood: each key's earliest line, by kind
     variants = _variants(lines)
@@ -113,7 +123,7 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     pairs = found.join(lines, "at").select("at", "other", F.col("w").alias("x")).join(lines.select(F.col("at").alias("other"), F.col("w").alias("y")), "other")
     near = pairs.where(within_one(F.col("x"), F.col("y"))).select("at")
     dropped = written(equal.unionAll(near).distinct().select("at.doc", "at.line"), "dropped")
-    free(table, classes, shared, able, lines, keys)
+    free(table, often, shared, able, lines, keys)
     return dropped
 
 

@@ -59,7 +59,7 @@ h AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unn
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 OP10 = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-w AS (SELECT doc_id, k, t, {WORDS.format(LOWER.format("t"))} AS w FROM l), c AS (SELECT w, min((doc_id, k)) AS first FROM w WHERE len(w) >= 5 GROUP BY 1),
+w AS (SELECT doc_id, k, t, {WORDS.format("lower(t)")} AS w FROM l), c AS (SELECT w, min((doc_id, k)) AS first FROM w WHERE len(w) >= 5 GROUP BY 1),
 v AS (SELECT first, len(w) AS n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS g FROM (SELECT first, w, unnest(range(1, len(w) + 1)) AS i FROM c WHERE len(w) >= 8)),
 sub AS (SELECT n, i, g, min(first) AS lead FROM v GROUP BY ALL), full_ AS (SELECT first, len(w) AS n, array_to_string(w, ' ') AS g FROM c WHERE len(w) >= 8),
 near AS (SELECT v.first FROM v JOIN sub USING (n, i, g) WHERE lead < v.first UNION SELECT v.first FROM v JOIN full_ f ON v.g = f.g AND f.n = v.n - 1 WHERE f.first < v.first UNION SELECT f.first FROM v JOIN full_ f ON v.g = f.g AND f.n = v.n - 1 WHERE v.first < f.first),

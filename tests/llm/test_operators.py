@@ -172,7 +172,7 @@ def test_jaccard_join(docs, rows, empty, long, monkeypatch):
 
 
 def test_line_dedup(docs, rows, empty):
-    low = [(i, k, tuple(WORD.findall(x.translate(LOW)))) for i, t in sorted({(i, t or "") for i, t, _ in rows}) for k, x in enumerate(t.split("\n"))]
+    low = [(i, k, tuple(WORD.findall(x.lower()))) for i, t in sorted({(i, t or "") for i, t, _ in rows}) for k, x in enumerate(t.split("\n"))]
     good = [x for x in low if len(x[2]) >= 5]
 
     def near(a, b):
