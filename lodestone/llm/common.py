@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: A text row is a few KB, and some are very long: small batches bound a Python worker's memory.
 ARROW_ROWS = 256
-#: Words are runs of other characters than space, tab, LF, VT, FF and CR.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -101,11 +99,6 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
-def sql_words(text):
-    """The array of words of a text column, by SQL functions alone; null or no words: empty."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
-
-
 def ascii_lower(text):
     """Lower case for A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -47,7 +47,7 @@ def _may_have(df: DataFrame, table: DataFrame, *key: str) -> DataFrame:
 
 def words_of(line: Column) -> Column:
     """The words of a line in lower case; a line without any has one empty word."""
-    return F.split(F.regexp_replace(F.lower(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,8 +99,10 @@ def within_one(a: Column, b: Column) -> Column:
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, line) of all lines that are dropped; line numbers count from 0."""
     at = F.struct("doc", "line").alias("at")
-    own = _lines(docs, id_col, text_col).select("doc", "line", words_of(F.col("t")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    table = written(own.select(at, F.xxhash64("w").alias("h"), F.hash("w").alias("g"), _half_keys().alias("halves")), "lines")
+    own = _lines(docs, id_col, text_col).select("doc", "line", words_of(F.col("t")).alias("w"))
+    long = F.size("w") >= MIN_WORDS
+    stored = written(own.select(at, F.when(long, F.xxhash64("w")).alias("h"), F.when(long, F.hash("w")).alias("g"), _half_keys().alias("halves")), "lines")
+    table = stored.where("h is not null")  # after the write: a filter before it would split every line twice
     often = table.groupBy("h", "g").agg(F.min("at").alias("lead"), F.max("at").alias("last")).where("lead < last").select("h", "g", "lead")
     often = written(often, "often")
     equal = table.select("h", "g", "at").join(often, ["h", "g"]).where("at > lead").select("at")
@@ -123,7 +125,7 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     pairs = found.join(lines, "at").select("at", "other", F.col("w").alias("x")).join(lines.select(F.col("at").alias("other"), F.col("w").alias("y")), "other")
     near = pairs.where(within_one(F.col("x"), F.col("y"))).select("at")
     dropped = written(equal.unionAll(near).distinct().select("at.doc", "at.line"), "dropped")
-    free(table, often, shared, able, lines, keys)
+    free(stored, often, shared, able, lines, keys)
     return dropped
 
 
@@ -139,10 +141,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dr
     touched = F.coalesce(F.getbit(F.get(held.scalar(), slot), bit) == 1, F.lit(False))
     rest = own.where(~touched).withColumn(lines, F.lit(None).cast("array<int>"))
     some = own.where(touched).join(by_doc.select(F.col("doc").alias(key), F.col("lines").alias(lines)), key, "left").select(*[F.col(f"`{c}`") for c in rest.columns])
-    every = F.split(F.col(f"`{text_col}`"), "\n")
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(lines)))
-    text = F.when(F.col(lines).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda k: F.get(every, k)), "\n"))
-    done = rest.unionByName(some)
+    parts = _free(docs, "_d_parts")
+    done = rest.unionByName(some).withColumn(parts, F.when(F.col(lines).isNotNull(), F.split(F.col(f"`{text_col}`"), "\n")))
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines)))
+    text = F.when(F.col(lines).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda k: F.get(F.col(parts), k)), "\n"))
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns if c != dropped_col]
     return done.select(*out, F.coalesce(F.when(F.col(lines).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias(dropped_col))
 
