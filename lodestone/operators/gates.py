@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NOT_ACTIONABLE = r"(?i)\b(scaffold|bioreactor|token)\b"
+NOT_ACTIONABLE = r"(?i)(?:^|[^A-Za-z0-9_])(scaffold|bioreactor|token)(?:[^A-Za-z0-9_]|$)"
 
 
 def document_items(docs: DataFrame) -> DataFrame:

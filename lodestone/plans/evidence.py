@@ -82,7 +82,7 @@ def m02(spark, sf_dir):
     return c.select("component", "k", "helps", "hurts", r6((1.0 + h) / (2.0 + h + u)).alias("p_beneficial"), ((h + u >= 3) & (F.least(h, u) / (h + u) >= 0.3)).alias("conflict"))
 
 
-@query("a05_component_audit", """WITH i AS (SELECT source AS component, lang, doc_id, text LIKE '%the%' AS target, NOT regexp_matches(text, '(?i)\\b(scaffold|bioreactor|token)\\b') AS actionable, regexp_matches(text, '\\d') AS dose, length(text) >= 200 AS quoted FROM documents)
+@query("a05_component_audit", """WITH i AS (SELECT source AS component, lang, doc_id, text LIKE '%the%' AS target, NOT regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])(scaffold|bioreactor|token)(?:[^A-Za-z0-9_]|$)') AS actionable, regexp_matches(text, '\\d') AS dose, length(text) >= 200 AS quoted FROM documents)
 SELECT component, count(*) AS items, count(*) FILTER (target) AS n_target, count(*) FILTER (actionable) AS n_actionable, count(*) FILTER (dose) AS n_dose, count(*) FILTER (quoted) AS n_quote,
  count(*) FILTER (target AND actionable AND dose AND quoted) AS n_ready, count(DISTINCT lang) AS n_contexts, count(*) FILTER (target AND actionable AND dose AND quoted) > 0 AND bool_and(quoted) AS candidate,
  string_agg(DISTINCT lang, ';' ORDER BY lang) AS contexts FROM i GROUP BY ALL""")
@@ -90,7 +90,7 @@ def a05(spark, sf_dir):
     return gates.component_audit(gates.document_items(table(spark, sf_dir, "documents")))
 
 
-@query("g06_go_no_go", """WITH i AS (SELECT source AS component, text LIKE '%the%' AND NOT regexp_matches(text, '(?i)\\b(scaffold|bioreactor|token)\\b') AND regexp_matches(text, '\\d') AND length(text) >= 200 AS ready, length(text) >= 200 AS quoted FROM documents),
+@query("g06_go_no_go", """WITH i AS (SELECT source AS component, text LIKE '%the%' AND NOT regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])(scaffold|bioreactor|token)(?:[^A-Za-z0-9_]|$)') AND regexp_matches(text, '\\d') AND length(text) >= 200 AS ready, length(text) >= 200 AS quoted FROM documents),
 a AS (SELECT component, count(*) FILTER (ready) > 0 AND bool_and(quoted) AS candidate FROM i GROUP BY ALL),
 n AS (SELECT count(*) FILTER (candidate) AS c, count(*) AS components FROM a)
 SELECT components, c AS candidates, CASE WHEN c < 3 THEN 'NO_GO' ELSE 'GO' END AS decision, CASE WHEN c < 3 THEN 'too_few_candidates' ELSE '' END AS blockers FROM n""")

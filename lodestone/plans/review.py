@@ -25,9 +25,9 @@ def p13(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(P.is_decoy(F.col("text"), signals(F.col("text"), SIGNALS), ["digits", "symbols"])).select("doc_id")
 
 
-@query("p14_caption_qualifies", "SELECT doc_id FROM documents WHERE regexp_matches(text, '\\bthe\\b') AND regexp_matches(text, '\\bof\\b') AND regexp_matches(text, '\\d')")
+@query("p14_caption_qualifies", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)') AND regexp_matches(text, '(?:^|[^A-Za-z0-9_])of(?:[^A-Za-z0-9_]|$)') AND regexp_matches(text, '\\d')")
 def p14(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(P.qualifies(F.col("text"), [r"\bthe\b", r"\bof\b", r"\d"])).select("doc_id")
+    return table(spark, sf_dir, "documents").where(P.qualifies(F.col("text"), [r"(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)", r"(?:^|[^A-Za-z0-9_])of(?:[^A-Za-z0-9_]|$)", r"\d"])).select("doc_id")
 
 
 @query("p15_flags", "SELECT o_orderkey, o_orderstatus = 'F' AS yes, o_orderkey % 3 = 0 AS licence FROM orders")

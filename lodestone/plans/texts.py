@@ -8,7 +8,8 @@ from lodestone.functions import text as T
 from lodestone.operators import gates, retrieve, segment
 from lodestone.plans.registry import query, r6, s6, table
 
-SIGNALS = {"digits": r"\d{3,}", "symbols": r"[#$%]{2,}", "english": r"\bthe\b", "german": r"\bund\b"}
+#: Word ends are spelled out: engines differ in whether letters beyond ASCII are part of a word.
+SIGNALS = {"digits": r"\d{3,}", "symbols": r"[#$%]{2,}", "english": r"(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)", "german": r"(?:^|[^A-Za-z0-9_])und(?:[^A-Za-z0-9_]|$)"}
 WEIGHTS = {"digits": 6, "symbols": 4, "english": 2, "german": 1}
 CONCEPTS = {"articles": ["the", "der", "la"], "links": ["and", "und", "et"], "forms": ["in-the", "of"]}
 TERMS = ["the", "of", "that", "un", "the"]
@@ -93,14 +94,14 @@ def p04(spark, sf_dir):
     return docs(spark, sf_dir).select(F.explode(hits).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
-@query("p11_signals", "SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '\\d{3,}') THEN 'digits' END, CASE WHEN regexp_matches(text, '[#$%]{2,}') THEN 'symbols' END, CASE WHEN regexp_matches(text, '\\bthe\\b') THEN 'english' END, CASE WHEN regexp_matches(text, '\\bund\\b') THEN 'german' END) AS signals, (CASE WHEN regexp_matches(text, '\\d{3,}') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%]{2,}') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '\\bthe\\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\\bund\\b') THEN 1 ELSE 0 END)::INTEGER AS score FROM documents")
+@query("p11_signals", "SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '\\d{3,}') THEN 'digits' END, CASE WHEN regexp_matches(text, '[#$%]{2,}') THEN 'symbols' END, CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)') THEN 'english' END, CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])und(?:[^A-Za-z0-9_]|$)') THEN 'german' END) AS signals, (CASE WHEN regexp_matches(text, '\\d{3,}') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%]{2,}') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])und(?:[^A-Za-z0-9_]|$)') THEN 1 ELSE 0 END)::INTEGER AS score FROM documents")
 def p11(spark, sf_dir):
     """P11, F20."""
     found = T.signals(F.col("text"), SIGNALS)
     return docs(spark, sf_dir).select("doc_id", F.array_join(found, ";").alias("signals"), T.signal_score(found, WEIGHTS).alias("score"))
 
 
-@query("p12_prefilter", "SELECT doc_id FROM documents WHERE length(text) >= 80 AND regexp_matches(text, '\\d{3,}') AND regexp_matches(text, '\\bthe\\b')")
+@query("p12_prefilter", "SELECT doc_id FROM documents WHERE length(text) >= 80 AND regexp_matches(text, '\\d{3,}') AND regexp_matches(text, '(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)')")
 def p12(spark, sf_dir):
     found = T.signals(F.col("text"), SIGNALS)
     return docs(spark, sf_dir).where((F.length("text") >= 80) & F.arrays_overlap(found, F.array(F.lit("digits"))) & F.arrays_overlap(found, F.array(F.lit("english")))).select("doc_id")
