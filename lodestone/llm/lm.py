@@ -1,35 +1,45 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by a weighted backoff automaton that is sharded by history.
 
-Counts of words and of n-grams up to three cover every training document. Probabilities interpolate by absolute
-discounting; each n-gram that is kept is an arc, each history with arcs a state, and what a history leaves over is the
-weight of its failure arc to the shorter history. A text is scored by one left-to-right traversal that carries the
-state and adds up log10 probabilities, its end included.
+Counts of words and of all n-grams up to three cover every training document; none is pruned. Probabilities interpolate
+by absolute discounting: an n-gram is an arc of its history's state, and what a history leaves over is the weight of its
+failure arc to the shorter history.
 
-What is broadcast has fixed bounds: the KNOWN most frequent words with their counts and the ARCS most frequent n-grams
-of the N_GRAM_WORDS leading words (counted over everything; the bound prunes the model, and a pruned n-gram is scored
-through its failure arc, so probabilities still add up to one). Rarer words, of which there may be any number, get
-their counts by a join: they are scored as unigrams from the root state.
+Nothing that is learnt is held on the driver or broadcast. Texts are cut into chunks of at most CHUNK words (or one
+text), written once as word numbers. Each chunk sends its distinct histories with the arcs it takes to the shards that
+their hashes name; a shard adds up the training counts of all chunks and answers with each history's count and number of
+arcs, and each arc's count; one chunk of those that hold a history counts it as an arc of its first word. Words do the
+same. A chunk then follows its texts from state to state by its answers. A shard's size is bounded: there are at least
+as many shards as chunks / CHUNKS_A_SHARD.
 
-Null texts count as empty: the end alone. Repeated rows are scored each; ids are hashed as text to choose held-out
-rows. An empty table gives no rows. Ties in frequency are broken by the word or n-gram.
+Words and histories are compared by 64-bit hashes, the arcs of one history by 48 bits. Null texts count as empty: the end alone. Repeated rows are scored
+each; ids are hashed as text to choose held-out rows. An empty table gives no rows.
+
+train() is the same automaton as one object, pruned to fixed bounds (KNOWN words, N_GRAM_WORDS, ARCS); score() doesn't
+use it.
 """
 
 from __future__ import annotations
 
+import gc
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mapped, prepare, table_batch, texts, whole, written
+from lodestone.llm.common import mapped, mix64, prepare, table_batch, texts, whole, written
 
 #: Words with broadcast counts; words of which n-grams are made; arcs; discount; entries before a task flushes counts.
 KNOWN, N_GRAM_WORDS, ARCS, DISCOUNT, FLUSH = (1 << 18) - 2, (1 << 16) - 2, 1 << 19, 0.75, 1 << 22
+#: Words of a chunk; chunks for each of which there is a shard.
+CHUNK, CHUNKS_A_SHARD = 1 << 21, 2
 END, BEGIN = b" ", N_GRAM_WORDS + 1  # the end as a word that no text has; the begin as a history's word
 
 
@@ -200,35 +210,250 @@ def train(docs: DataFrame) -> tuple[object, DataFrame]:
     return spark.sparkContext.broadcast(model), words
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, trained on the texts that aren't held out."""
-    prepare(docs.sparkSession)
-    docs = whole(docs, id_col, text_col)
-    held, words = train(docs)
-    total, below = held.value.total, held.value.below
-    ddl_id = docs.schema[id_col].dataType.simpleString()
-    id_type = pa.string() if ddl_id == "string" else pa.int64()
-    schema = pa.schema([("row", pa.int64()), ("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("times", pa.int64())])
+#: A chunk's words 0, 1 and 2: the begin, the end, and what follows the end so that each word is a history's last. No text has them.
+_MARKS = (b"\n", END, b"\t")
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bundle(*arrays: np.ndarray) -> bytes:
+    """Arrays by byte planes, compressed."""
+    out = []
+    for x in arrays:
+        data = zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+        out.append(struct.pack("<4sqq", x.dtype.str.encode(), len(x), len(data)) + data)
+    return b"".join(out)
+
+
+def _arrays(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<4sqq", data, at)
+        at += 20
+        kind = np.dtype(kind.rstrip(b"\0").decode())
+        planes = np.frombuffer(zstandard.decompress(data[at : at + size]) if n else b"", np.uint8).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size
+    return out
+
+
+class _Local(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _chunks(id_type: pa.DataType):
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = held.value, TaskContext.get().partitionId() << 33
-        numbers = model.numbers()
+        chunk, size, local, ids, kept = TaskContext.get().partitionId() << 33, 0, _Local(), [], []
+
+        def flush() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
+            held = _bundle(np.array([len(x) for x in kept], np.int64), np.array([not held_out(d) for d in ids]), np.concatenate(kept), hashes)
+            return table_batch(schema, [[chunk], [ids], [held]])
+
         for batch in batches:
-            out, rare = [], []
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
-                own = [*words_of(text), END]
-                ids = list(map(numbers.__getitem__, own))
-                base = float(model.unigram[ids].sum())
-                missing = Counter(w for w, k in zip(own, ids, strict=True) if not k)
-                out.append((row, doc, held_out(doc), len(own), len(own) - sum(missing.values()), base, model.traverse(ids), None, None))
-                rare += [(row, None, None, None, None, None, None, w, n) for w, n in missing.items()]
-                row += 1
-            yield table_batch(schema, list(zip(*(out + rare), strict=True)))
-
-    found = written(mapped(docs, run, f"row long, id {'string' if ddl_id == 'string' else 'long'}, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, times long"), "scores")
-    rare = found.where("word is not null").select("row", "word", "times").join(words, "word", "left")
-    weight = F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(below)))
-    rare = rare.groupBy("row").agg(F.sum(weight).alias("w"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"))
-    done = found.where("word is null").join(rare, "row", "left")
-    w, k = F.coalesce("w", F.lit(0.0)), F.coalesce("k", F.lit(0))
-    return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + k).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + w).alias("base_score"), (F.col("score") + w).alias("score"))
+                if not ids:
+                    local = _Local({w: k for k, w in enumerate(_MARKS)})
+                words = [*words_of(text), END]
+                kept.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
+                ids.append(doc)
+                size += len(words)
+                if size >= CHUNK:
+                    yield flush()
+                    chunk, size, ids, kept = chunk + 1, 0, [], []
+        if ids:
+            yield flush()
+
+    return run
+
+
+class _Chunk:
+    """A chunk's texts as numbers of its distinct pairs and triples of words. Pair k of the texts ends with word k."""
+
+    def __init__(self, held: bytes, shards: int):
+        self.lens, train, self.words, self.hashes = _arrays(held)
+        n, self.first = len(self.hashes), np.cumsum(self.lens) - self.lens
+        self.train = np.repeat(train, self.lens).astype(np.int64)
+        starts = self.first + 2 * np.arange(len(self.lens))
+        inner = np.ones(len(self.words) + 2 * len(self.lens), np.bool_)
+        inner[starts] = inner[starts + self.lens + 1] = False
+        row = np.zeros(len(inner), np.int64)
+        row[inner] = self.words
+        row[starts + self.lens + 1] = 2
+        at = np.flatnonzero(inner) - 1
+        self.n_train = int(train.sum())
+        pairs, self.pair = np.unique(row[at] * n + row[at + 1], return_inverse=True)
+        triples, self.triple = np.unique(self.pair * n + row[at + 2], return_inverse=True)
+        self.u, self.v = np.divmod(pairs, n)
+        self.history, self.w = np.divmod(triples, n)
+        self.times = np.bincount(self.triple, self.train, len(triples)).astype(np.int64)
+        # the order of requests, and of answers: by shard, then by hash
+        keys = mix64(mix64(self.hashes[self.u]) + self.hashes[self.v] * _P)
+        shard = (keys % np.uint64(shards)).astype(np.int64)
+        self.order = np.lexsort((keys, shard))
+        place = np.empty(len(pairs), np.int64)
+        place[self.order] = np.arange(len(pairs))
+        self.arc_order = np.argsort(place[self.history], kind="stable")
+        self.keys, self.shard = keys[self.order], shard[self.order]
+
+    def requests(self) -> Iterator[tuple[int, bytes]]:
+        arcs = np.bincount(self.history, minlength=len(self.u))[self.order]
+        hw, times = self.hashes[self.w[self.arc_order]] >> np.uint64(16), self.times[self.arc_order]
+        ends = np.concatenate([[0], np.cumsum(arcs)])
+        for s, lo, hi in _runs(self.shard):
+            yield s, _bundle(np.diff(self.keys[lo:hi], prepend=np.uint64(0)), arcs[lo:hi], hw[ends[lo] : ends[hi]], times[ends[lo] : ends[hi]])
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run of a sorted array."""
+    if len(x):
+        edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(x[lo]), lo, hi
+
+
+def _word_order(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order]
+
+
+PACKET = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("kind", pa.string()), ("held", pa.binary())])
+PACKET_DDL = "chunk long, shard long, kind string, held binary"
+
+
+def _packets(rows: list[tuple]) -> pa.RecordBatch:
+    return table_batch(PACKET, list(zip(*rows, strict=True)) if rows else [[], [], [], []])
+
+
+def _pair_requests(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield _packets([(chunk, s, "pairs", x) for s, x in _Chunk(held.as_py(), shards).requests()])
+
+    return run
+
+
+def _pair_answers(key: tuple, table: pa.Table) -> pa.Table:
+    """Each chunk's histories with count and number of arcs, and whether the chunk counts them as arcs; and its arcs with counts."""
+    parts = [_arrays(x.as_py()) for x in table.column("held")]
+    keys, arcs, hw, times = (np.concatenate(x) for x in zip(*((np.cumsum(gaps, dtype=np.uint64), *rest) for gaps, *rest in parts), strict=True))
+    keys, first, pair = np.unique(keys, return_index=True, return_inverse=True)
+    of = np.repeat(pair, arcs)
+    _, arc_first, arc = np.unique(mix64(keys[of] + mix64(hw) * _P), return_index=True, return_inverse=True)
+    c3 = np.bincount(arc, times).astype(np.int64)
+    history = of[arc_first]
+    c2, n2 = (np.bincount(history, x, len(keys)).astype(np.int64) for x in (c3, c3 > 0))
+    own = np.zeros(len(pair), np.uint8)
+    own[first[c2 > 0]] = 1
+    rows, lo, at = [], 0, 0
+    for chunk, (mine, own_arcs, _, _) in zip(table.column("chunk").to_pylist(), parts, strict=True):
+        hi, to = lo + len(mine), at + int(own_arcs.sum())
+        rows.append((chunk, key[0].as_py(), "pairs", _bundle(c2[pair[lo:hi]], n2[pair[lo:hi]], own[lo:hi], c3[arc[at:to]])))
+        lo, at = hi, to
+    return pa.Table.from_batches([_packets(rows)])
+
+
+def _gathered(table: pa.Table, kind: str) -> Iterator[np.ndarray]:
+    """The answers of one kind, in the order of requests."""
+    rows = zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "held")), strict=True)
+    return (np.concatenate(x) for x in zip(*(_arrays(h) for _, h in sorted((s, h) for k, s, h in rows if k == kind)), strict=True))
+
+
+def _put(order: np.ndarray, x: np.ndarray) -> np.ndarray:
+    back = np.empty(len(order), np.float64)
+    back[order] = x
+    return back
+
+
+def _word_requests(shards: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """A chunk's words with their training count and the number of histories that the chunk counts as their arcs."""
+        chunk = _Chunk(table.column("held")[table.column("kind").to_pylist().index("texts")].as_py(), shards)
+        _, _, own, _ = _gathered(table, "pairs")
+        times = np.bincount(chunk.words, chunk.train, len(chunk.hashes)).astype(np.int64)
+        times[0] = chunk.n_train  # the begin
+        follow = np.bincount(chunk.u, _put(chunk.order, own), len(chunk.hashes)).astype(np.int64)
+        order, shard = _word_order(chunk.hashes, shards)
+        rows = [(key[0].as_py(), s, "words", _bundle(*(x[order[lo:hi]] for x in (chunk.hashes, times, follow)))) for s, lo, hi in _runs(shard)]
+        return pa.Table.from_batches([_packets(rows)])
+
+    return run
+
+
+def _word_answers(key: tuple, table: pa.Table) -> pa.Table:
+    """Each chunk's words with count and number of arcs; and the shard's sum of counts and number of training words."""
+    parts = [_arrays(x.as_py()) for x in table.column("held")]
+    hashes, times, follow = (np.concatenate(x) for x in zip(*parts, strict=True))
+    words, at = np.unique(hashes, return_inverse=True)
+    c1, n1 = (np.bincount(at, x, len(words)).astype(np.int64) for x in (times, follow))
+    rows, lo = [], 0
+    for chunk, (own, _, _) in zip(table.column("chunk").to_pylist(), parts, strict=True):
+        mine = at[lo : lo + len(own)]
+        rows.append((chunk, key[0].as_py(), "words", _bundle(c1[mine], n1[mine])))
+        lo += len(own)
+    real = words != np.uint64(xxhash.xxh3_64_intdigest(_MARKS[0]))
+    rows.append((None, key[0].as_py(), "sums", _bundle(np.array([c1[real].sum(), (c1[real] > 0).sum()], np.int64))))
+    return pa.Table.from_batches([_packets(rows)])
+
+
+def _scores(shards: int, total: int, distinct: int, out: pa.Schema):
+    below = total + distinct + 1
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at = table.column("kind").to_pylist().index("texts")
+        chunk, ids = _Chunk(table.column("held")[at].as_py(), shards), table.column("ids")[at].as_py()
+        c2, n2, _, c3 = _gathered(table, "pairs")
+        c2, n2, c3 = _put(chunk.order, c2), _put(chunk.order, n2), _put(chunk.arc_order, c3)
+        order, _ = _word_order(chunk.hashes, shards)
+        c1, n1 = (_put(order, x) for x in _gathered(table, "words"))
+        # a history's arc and failure arc; a history that training lacks leaves everything to the shorter one
+        step = lambda c, of, arcs, lower: np.where(of > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * arcs * lower) / np.maximum(of, 1), lower)
+        p1 = (c1 + 1) / below
+        p2 = step(c2, c1[chunk.u], n1[chunk.u], p1[chunk.v])
+        p = p2[chunk.pair]
+        later = np.ones(len(p), np.bool_)
+        later[chunk.first] = False
+        later = np.flatnonzero(later)
+        arc, history = chunk.triple[later - 1], chunk.pair[later - 1]
+        p[later] = step(c3[arc], c2[history], n2[history], p[later])
+        add = lambda x: np.add.reduceat(x, chunk.first)
+        base, score = add(np.log10(p1)[chunk.words]), add(np.log10(p))
+        known = add((c1 > 0)[chunk.words].astype(np.int64))
+        return pa.Table.from_batches([table_batch(out, [ids, [held_out(d) for d in ids], chunk.lens, known, np.full(len(ids), total), base, score])])
+
+    return run
+
+
+def _drop_shuffles(spark) -> None:
+    """Let Spark drop the shuffle files of finished jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, trained on the texts that aren't held out."""
+    spark = prepare(docs.sparkSession)
+    docs = whole(docs, id_col, text_col)
+    id_type, ddl_id = (pa.string(), "string") if docs.schema[id_col].dataType.simpleString() == "string" else (pa.int64(), "long")
+    chunks = written(mapped(docs, _chunks(id_type), f"chunk long, ids array<{ddl_id}>, held binary"), "chunks")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // CHUNKS_A_SHARD))
+    packets = mapped(chunks.select("chunk", "held"), _pair_requests(shards), PACKET_DDL)
+    pairs = written(packets.groupBy("shard").applyInArrow(_pair_answers, PACKET_DDL), "pair_answers")
+    del packets
+    _drop_shuffles(spark)
+    rows = chunks.select("chunk", F.lit(None).cast("long").alias("shard"), F.lit("texts").alias("kind"), "held", "ids").unionByName(pairs, allowMissingColumns=True)
+    asked = rows.groupBy("chunk").applyInArrow(_word_requests(shards), PACKET_DDL)
+    words = written(asked.groupBy("shard").applyInArrow(_word_answers, PACKET_DDL), "word_answers")
+    del asked
+    _drop_shuffles(spark)
+    sums = [_arrays(bytes(r[0]))[0] for r in words.where("kind = 'sums'").select("held").toLocalIterator()]
+    total, distinct = (int(sum(x[k] for x in sums)) for k in (0, 1))
+    rows = rows.unionByName(words.where("kind = 'words'"), allowMissingColumns=True)
+    out = pa.schema([(id_col, id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    ddl = f"`{id_col}` {ddl_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("chunk").applyInArrow(_scores(shards, total, distinct, out), ddl)

@@ -295,6 +295,34 @@ def test_lm_scores(docs, rows, empty, known, monkeypatch):
         assert lm.score(empty).collect() == []
 
 
+@pytest.mark.parametrize("chunk", [lm.CHUNK, 300])
+def test_lm_scores_use_every_n_gram(docs, rows, chunk, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", chunk)  # 300: many chunks share their counts
+    monkeypatch.setattr(lm, "ARCS", 10)
+    monkeypatch.setattr(lm, "N_GRAM_WORDS", 10)
+    words = {i: [None, *(t or "").encode().lower().split(), lm.END] for i, t, _ in rows}
+    grams = [Counter(), Counter(), Counter()]
+    for i, _, _ in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for n, c in enumerate(grams):
+                c.update(tuple(words[i][k : k + n + 1]) for k in range(len(words[i]) - n))
+    own = Counter({g: c for g, c in grams[0].items() if g[0] is not None})
+    below = sum(own.values()) + len(own) + 1
+    arcs = [Counter(g[:-1] for g in c) for c in grams]
+
+    def p(gram):
+        n = len(gram) - 1
+        if not n:
+            return (own[gram] + 1) / below
+        of = grams[n - 1][gram[:-1]]
+        return (max(grams[n][gram] - lm.DISCOUNT, 0) + lm.DISCOUNT * arcs[n][gram[:-1]] * p(gram[1:])) / of if of else p(gram[1:])
+
+    for r in lm.score(docs).collect():
+        w = words[r.doc_id]
+        want = sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w)))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
 def test_lm_automaton_is_a_distribution(spark):
     rnd = random.Random(1)
     texts = [" ".join(rnd.choice("a b c d e".split()) for _ in range(rnd.randint(1, 9))) for _ in range(200)]
