@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import struct
+import time
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -430,9 +431,11 @@ def _scores(shards: int, total: int, distinct: int, out: pa.Schema):
 
 
 def _drop_shuffles(spark) -> None:
-    """Let Spark drop the shuffle files of finished jobs."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished jobs; its cleaner runs beside, and is given time."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
