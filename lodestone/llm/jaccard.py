@@ -5,11 +5,14 @@ Equal sets are one class and joined once. Then two relations between sets spare
 * Position: sets are ordered by how rare their shingles are, and only a prefix that every partner must share is
   indexed. Index lists of shingles that occur once are skipped, and within a list, sorted by set size, blocks are
   skipped by size and by position (what is left after the shared shingle can't reach the overlap that is needed).
-* Answers: sets that share min-hashes are first verified against one hub of their bucket. A set that is linked to
-  the hub derives its class from the hub's; lists whose sets all have one class are skipped whole, and pairs of one
-  class are never verified again.
+* Answers: sets that share min-hashes are first verified against one hub of their bucket, and each set keeps its
+  distance to one such hub. Jaccard distances obey the triangle inequality: two sets of one hub whose distances to it
+  add up to no more than the allowed one are linked. Such partners are derived from the hub's and counted by distance,
+  not verified; only the pairs that the differences to the hub may part are. A long list is skipped where all its
+  pairs are derived.
 
-A long list that still holds several classes is cut into blocks, and pairs of blocks are dealt out.
+Any other long list is cut into blocks, and pairs of blocks are dealt out. Every link between unequal sets is either
+derived or verified, and counted once.
 
 Null texts, and texts without words, have no shingles and link with nothing. Repeated rows give repeated rows; rows
 of one id are taken to have one text. An empty table gives no rows. Shingles are compared by 64-bit hashes.
@@ -35,6 +38,8 @@ WORDS, PERCENT = 5, 75
 #: ones, and from which frequency; length from which a list is handled in blocks, and a block's length.
 MINS, BUCKETS, TABLE_BITS, FREQUENT, FREQUENT_FROM, LONG, BLOCK = 12, 64, 27, 1 << 21, 8, 256, 512
 CACHE_WORDS, FLUSH = 400_000, 1 << 22
+#: Distances to hubs are rounded up to multiples of 1 / STEPS.
+STEPS = 1024
 #: Shingles are counted by so many leading bits of their hashes: few unlike ones must meet, as their number is squared.
 KEY_BITS, KEY_BYTES = 40, 5
 _MULTIPLIERS = mix64(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -70,6 +75,11 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def allowed(percent: int = PERCENT) -> int:
+    """The largest distance of a link, in steps."""
+    return (100 - percent) * STEPS // 100
+
+
 def _key(x: np.ndarray) -> np.ndarray:
     return x >> np.uint64(64 - KEY_BITS)
 
@@ -168,7 +178,7 @@ def _marked(frame: DataFrame, column: str, bits: int = 24) -> np.ndarray:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids that link. Only texts of documents in pairs are taken apart, as far as a bit table of bounded size tells."""
+    """The pairs (a, b) of ids that link, and their distance q in steps. Only texts of documents in pairs are taken apart, as far as a bit table of bounded size tells."""
     ends = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ends")
     held = docs.sparkSession.sparkContext.broadcast(_marked(ends, "id"))
 
@@ -180,35 +190,40 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             if own.num_rows:
                 yield table_batch(pa.schema([("id", pa.int64()), ("held", pa.binary())]), [own.column(0).cast(pa.int64()), [shingles(x).tobytes() for x in texts(own, 1)]])
 
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("q", pa.int64())])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            good, q = [], []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (left, right))
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if 100 * len(small) < percent * len(large):
                     good.append(False)
+                    q.append(STEPS)
                     continue
                 at = np.searchsorted(large, small)
                 same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+                union = len(x) + len(y) - same
+                good.append(100 * same >= percent * union)
+                q.append(-(-STEPS * (union - same) // union))
+            yield table_batch(schema, [batch.column(0), batch.column(1), q]).filter(pa.array(good, pa.bool_()))
 
     found = mapped(docs, sets, "id long, held binary").join(ends, "id", "left_semi").dropDuplicates(["id"])
     found = written(found, "sets")
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
-    links = written(mapped(both.select("a", "b", "x", "y"), verify, "a long, b long"), "links")
+    links = written(mapped(both.select("a", "b", "x", "y"), verify, "a long, b long, q long"), "links")
     free(ends, found)
     return links
 
 
 def _run_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows (key, id, n, pos, comp) by key and n: pairs that one list brings together and no filter rules out."""
+        """From rows (key, id, n, pos, hub, q) by key and n: pairs that one list brings together, no filter rules out and no hub answers."""
         schema, carry = pa.schema([("a", pa.int64()), ("b", pa.int64())]), None
 
         def pairs(rows: np.ndarray) -> pa.RecordBatch | None:
-            key, ids, n, pos, comp = rows
+            key, ids, n, pos, hub, q = rows
             found, at, k = [], np.arange(len(key) - 1), 1
             while True:
                 at = at[at + k < len(key)]
@@ -219,7 +234,7 @@ def _run_pairs(percent: int):
                 to = at + k
                 least = -(-percent * (n[at] + n[to]) // (100 + percent))
                 able = np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least
-                good = able & (comp[at] != comp[to])
+                good = able & ((hub[at] != hub[to]) | (q[at] + q[to] > allowed(percent)))
                 found.append(np.stack([np.minimum(ids[at], ids[to])[good], np.maximum(ids[at], ids[to])[good]]))
                 k += 1
             if not found:
@@ -247,7 +262,7 @@ def _classes(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, class_id (smallest id with an equal set) and component_id (smallest id reachable by links)."""
+    """One row for each document: doc_id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links) and n_links (classes that its class is linked with)."""
     spark = prepare(docs.sparkSession)
     docs = whole(docs, id_col, text_col)
     profiles = written(mapped(docs, _profiles, "doc_id long, n long, sig long, mins array<bigint>, bucket long, part long, held binary"), "profiles")
@@ -259,8 +274,9 @@ def join(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", tex
     hubs = written(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"), "hubs")
     stars = buckets.join(hubs, "key").where("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
     star_links = _verified(docs, written(stars, "stars"), percent)
-    comps = _classes(reps.select("rep"), components(star_links)).select(F.col("rep").alias("id"), "comp")
-    comps = written(comps, "classes")
+    # one hub for each set: the smallest, so that sets of one group meet at few
+    own = star_links.groupBy("a").agg(F.min(F.struct("b", "q")).alias("h")).select(F.col("a").alias("rep"), "h.b", "h.q")
+    homes = written(reps.select("rep").join(own, "rep", "left").select(F.col("rep").alias("id"), F.coalesce("b", "rep").alias("hub"), F.coalesce("q", F.lit(0)).alias("q")), "homes")
     free(hubs)
 
     # the index of prefixes
@@ -303,17 +319,16 @@ def join(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", tex
                 flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, inner, strict=True)], fields=list(inner))
                 yield table_batch(schema, [ids, sizes, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat).cast(schema.field("entries").type)])
 
-    entries = mapped(docs, prefixes, "id long, n long, entries array<struct<key:bigint,pos:bigint,long:boolean>>").join(comps, "id")
+    entries = mapped(docs, prefixes, "id long, n long, entries array<struct<key:bigint,pos:bigint,long:boolean>>").join(homes, "id")
     index = written(entries, "prefixes")
-    free(comps)
-    entries = index.select("id", "n", "comp", F.inline("entries"))
-    run, columns = _run_pairs(percent), ("key", "id", "n", "pos", "comp")
+    entries = index.select("id", "n", "hub", "q", F.inline("entries"))
+    run, columns = _run_pairs(percent), ("key", "id", "n", "pos", "hub", "q")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     short = mapped(entries.where("not long").repartition(parts, "key").sortWithinPartitions("key", "n").select(*columns), run, "a long, b long")
 
-    # long lists: those of one class are skipped; of others, pairs of blocks are dealt out
+    # long lists: those that a hub answers are skipped; of others, pairs of blocks are dealt out
     long = entries.where("long")
-    mixed = written(long.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK).alias("s")), "mixed")
+    mixed = written(long.groupBy("key").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi"), F.max("q").alias("q"), F.count("*").alias("c")).where((F.col("lo") < F.col("hi")) | (2 * F.col("q") > allowed(percent))).select("key", F.ceil(F.col("c") / BLOCK).alias("s")), "mixed")
     blocks = long.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "s")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
     blocks = blocks.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     dealt = mapped(blocks.repartition(parts, "key").sortWithinPartitions("key", "n").select(*columns), run, "a long, b long")
@@ -322,7 +337,14 @@ def join(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", tex
     free(index, mixed)
     links = _verified(docs, candidates, percent)
     all_links = star_links.unionAll(links)
-    classes = written(_classes(reps.select("sig", "n", "rep"), components(all_links)), "members")
-    free(candidates, star_links, links, reps)
+    # a class's links: those derived, by its hub's number of sets at each distance, and those verified
+    at = homes.groupBy("hub", "q").agg(F.count("*").alias("c"))
+    near = at.select("hub", F.col("q").alias("q2"), F.col("c").alias("c2"))
+    derived = at.join(near, "hub").where(F.col("q") + F.col("q2") <= allowed(percent)).groupBy("hub", "q").agg(F.sum("c2").alias("c"))
+    derived = homes.join(written(derived, "derived"), ["hub", "q"]).select("id", (F.col("c") - F.when(2 * F.col("q") <= allowed(percent), 1).otherwise(0)).alias("c"))
+    counts = derived.unionAll(links.select(F.col("a").alias("id"), F.lit(1))).unionAll(links.select("b", F.lit(1)))
+    counts = counts.groupBy(F.col("id").alias("rep")).agg(F.sum("c").cast("long").alias("n_links"))
+    classes = written(_classes(reps.select("sig", "n", "rep"), components(all_links)).join(counts, "rep", "left"), "members")
+    free(candidates, star_links, links, reps, homes)
     out = rows.join(classes, ["sig", "n"], "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

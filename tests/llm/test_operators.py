@@ -171,6 +171,29 @@ def test_jaccard_join(docs, rows, empty, long, monkeypatch):
         assert jaccard.join(empty).collect() == []
 
 
+@pytest.mark.parametrize("long", [256, 2])
+def test_jaccard_counts_every_link(spark, long, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2 if long == 2 else 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rnd = random.Random(4)
+    rows = []
+    for group in range(3):  # near copies, some so far from the rest that only a part of the group's pairs link
+        body = [f"w{group}x{k}" for k in range(80)]
+        for _ in range(14):
+            cut = rnd.randint(0, 14)
+            rows.append((len(rows), " ".join(body[: len(body) - cut] if rnd.random() < 0.5 else body[cut:])))
+    sets = brute_sets([(i, t, None) for i, t in rows])
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    reps = sorted(first.values())
+    want = {a: sum(a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for b in reps) for a in reps}
+    assert len(set(want.values())) > 3
+    for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.class_id, r.n_links) == (first[frozenset(sets[r.doc_id])], want[r.class_id])
+
+
 def test_line_dedup(docs, rows, empty):
     low = [(i, k, tuple(WORD.findall(x.lower()))) for i, t in sorted({(i, t or "") for i, t, _ in rows}) for k, x in enumerate(t.split("\n"))]
     good = [x for x in low if len(x[2]) >= 5]
