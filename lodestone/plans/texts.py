@@ -89,7 +89,20 @@ def p01(spark, sf_dir):
 @query("p04_grounding", "SELECT b.item_id, count(*) AS n FROM benchmark b, documents d WHERE b.item_id < 12 AND length(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) >= 8 AND contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) GROUP BY 1")
 def p04(spark, sf_dir):
     """A stated set of twelve quotes against all documents, one expression each: no cross join."""
-    quotes = table(spark, sf_dir, "benchmark").where("item_id < 12").select("item_id", "text").collect()
+    return _grounding(spark, sf_dir, table(spark, sf_dir, "benchmark").where("item_id < 12").select("item_id", "text").collect())
+
+
+@query("p04_grounding_whole")
+def p04_whole(spark, sf_dir):
+    """All items in blocks of twelve; p04_grounding's SQL is for the first twelve."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    quotes, out = list(items.toLocalIterator()), items.limit(0).select("item_id", F.lit(0).cast("long").alias("n"))
+    for k in range(0, len(quotes), 12):
+        out = out.unionAll(_grounding(spark, sf_dir, quotes[k : k + 12]))
+    return out
+
+
+def _grounding(spark, sf_dir, quotes):
     hits = F.filter(F.array(*[F.when(T.grounded(F.lit(q.text), F.col("text")), F.lit(q.item_id)) for q in quotes]), lambda x: x.isNotNull())
     return docs(spark, sf_dir).select(F.explode(hits).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("n"))
 
