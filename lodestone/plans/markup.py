@@ -24,8 +24,7 @@ def x06(spark, sf_dir):
 @query("f03_slugs")
 def f03(spark, sf_dir):
     """F03, F06."""
-    head = F.substring("text", 1, 200)  # a title is short by nature
-    return table(spark, sf_dir, "documents").select("doc_id", udf.slugify(head).alias("slug"), udf.normalize_markup_title(head).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", udf.slugify("text").alias("slug"), udf.normalize_markup_title("text").alias("title"))
 
 
 @query("f08_title_ratio")

@@ -49,6 +49,13 @@ def p19(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_id % 40 = 0").groupBy("user_id").agg(P.all_failed(s).alias("failed"))
 
 
+@query("p19_all_failed_whole", "SELECT user_id, bool_and(event_type = 'error') AS failed FROM events GROUP BY 1")
+def p19_whole(spark, sf_dir):
+    """All events; p19_all_failed's SQL is for every 40th."""
+    failed = P.all_failed(F.array(F.when(F.col("event_type") == "error", "call_error").otherwise("ok")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_and(failed).alias("failed"))
+
+
 @query("p20_coercion", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END AS n, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment || '; x' END AS joined FROM customer")
 def p20(spark, sf_dir):
     v = P.as_list(F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(F.col("c_mktsegment")))
@@ -114,8 +121,19 @@ def j10(spark, sf_dir):
 s AS (SELECT c.source, c.doc_id AS caption_id, w.doc_id AS page, count(*) / 10 AS score FROM c JOIN w ON c.source = w.source AND list_contains(w.t, c.t) GROUP BY ALL), r AS (SELECT *, row_number() OVER z AS k, coalesce(lead(score) OVER z, 0) AS nxt FROM s WINDOW z AS (PARTITION BY source, caption_id ORDER BY score DESC, page))
 SELECT source AS doc_id, caption_id, page, """ + s6("score") + " AS score FROM r WHERE k = 1 AND score >= 0.59 AND score - nxt >= 0.05")
 def j14(spark, sf_dir):
-    t = F.array_sort(F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), 1, 40)))
-    w = table(spark, sf_dir, "documents").where("n_chars < 1500").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), t.alias("tokens"))
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), 1, 40)
+    return _best_page(table(spark, sf_dir, "documents").where("n_chars < 1500"), words)
+
+
+@query("j14_best_page_whole")
+def j14_whole(spark, sf_dir):
+    """All documents and all their words; j14_best_page's SQL is for short ones and their first 40 words."""
+    return _best_page(table(spark, sf_dir, "documents"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
+
+
+def _best_page(docs, words):
+    t = F.array_sort(F.array_distinct(words))
+    w = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), t.alias("tokens"))
     c = w.where((F.col("page") % 5 == 0) & (F.size("tokens") >= 10)).select("doc_id", F.col("page").alias("caption_id"), F.slice("tokens", 1, 10).alias("tokens"))
     return pointers.best_page(c, w).withColumn("score", r6(F.col("score")))
 
