@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, written
+from lodestone.llm.common import ascii_lower, free, written
 
 #: (verdict, rule): a rule is a host, which stands for its subdomains too, and the beginning of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, CLOSE = 0.85, 20, 1e-6
+DAMPING, CLOSE = 0.85, 1e-6
 
 
 def host(url: Column) -> Column:
@@ -61,17 +61,18 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     against = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("total")).alias("w"), F.lit("distrust").alias("kind"))
     moves = written(along.unionByName(against), "moves")
     ranks = start
-    for _ in range(ROUNDS):
+    while True:  # changes shrink by the damping in each round
         given = moves.join(ranks.withColumnRenamed("host", "src"), "src").select("dst", "kind", (F.col("w") * F.when(F.col("kind") == "trust", F.col("trust")).otherwise(F.col("distrust"))).alias("r"))
         gained = given.groupBy(F.col("dst").alias("host")).agg(F.sum(F.when(F.col("kind") == "trust", F.col("r")).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("r")).otherwise(0.0)).alias("d"))
         value = lambda seed, got: (1 - DAMPING) * F.coalesce(seed, F.lit(0.0)) + DAMPING * F.coalesce(got, F.lit(0.0))
         step = start.join(gained, "host", "full").select("host", value(F.col("trust"), F.col("t")).alias("trust"), value(F.col("distrust"), F.col("d")).alias("distrust"))
         old = ranks.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
         step = step.join(old, "host", "left").withColumn("change", F.abs(F.col("trust") - F.coalesce("t0", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d0", F.lit(0.0))))
-        ranks = written(step.select("host", "trust", "distrust", "change"), "ranks")
+        before, ranks = ranks, written(step.select("host", "trust", "distrust", "change"), "ranks")
         if (ranks.agg(F.sum("change")).first()[0] or 0) < CLOSE:
-            break
-    return ranks.select("host", "trust", "distrust")
+            return ranks.select("host", "trust", "distrust")
+        if before is not start:
+            free(before)
 
 
 def judge(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -386,6 +386,13 @@ def test_url_filter(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_url_ranks_reach_far_hosts(spark):
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(24)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h24", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: r.distrust for r in urls.propagate(seeds, edges).collect()}
+    assert all(math.isclose(got[f"h{k}"], 0.15 * 0.85 ** (24 - k), rel_tol=1e-6) for k in range(25))
+
+
 def test_pii_surrogates(spark):
     text = "Call Mr. John Smith or Mrs. Anna Smith; Mr. Smith said 4532015112830366, a.b@x.com, A.B@x.com and c@x.com, +1 (017) 555-7713, 97.51.17.173. SSN 123-45-6789 DE89 3704 0044 0532 0130 00"
     many = " ".join(f"Mr. Name{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
