@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,16 +11,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A text row is a few KB, and some are very long: small batches bound a Python worker's memory.
+#: A text row is a few KB, and some are very long: Python workers take a batch in small slices, which bounds their memory.
 ARROW_ROWS = 256
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make a session fit for text batches, and let Python workers import this package from where the driver has it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Let Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -29,54 +30,76 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; only where that is unset, as in tests, a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a session in one process (local mode, as in tests) gets a temporary folder; a cluster must name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-_tables: dict[str, SparkSession] = {}
+class Tables:
+    """A scope: tables written inside `with` belong to it, and release() deletes them (and no others)."""
+
+    _open: list[Tables] = []
+
+    def __init__(self):
+        self.paths: dict[str, SparkSession] = {}
+
+    def __enter__(self) -> Tables:
+        Tables._open.append(self)
+        return self
 
+    def __exit__(self, *_) -> None:
+        Tables._open.remove(self)
 
-def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    def release(self) -> None:
+        for path, spark in self.paths.items():
+            _delete(path, spark)
+        self.paths = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: the lineage is cut, and a lost executor loses nothing.
 
-    free() deletes it when it is used up, release() all that are left but those written to keep.
+    The job's shuffle files go when it ends. free() deletes the table when it is used up; others stay until the scope
+    that they were written in is released.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
-    if not keep:
-        _tables[path] = spark
+    if Tables._open:
+        Tables._open[-1].paths[path] = spark
     return out
 
 
-def _delete(path: str) -> None:
-    spark = _tables.pop(path, None)
-    if spark is not None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(path: str, spark: SparkSession) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free(*frames: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    """Delete written tables that nothing reads any more."""
     for frame in frames:
-        _delete(frame._written)
-    gc.collect()
-    frames[0].sparkSession._jvm.System.gc()
-
-
-def release() -> None:
-    """Delete all written tables of this process: for a pipeline whose last stage's result is stored."""
-    for path in list(_tables):
-        _delete(path)
+        _delete(frame._written, frame.sparkSession)
+        for scope in Tables._open:
+            scope.paths.pop(frame._written, None)
 
 
 def whole(docs: DataFrame, *cols: str) -> DataFrame:
@@ -94,9 +117,35 @@ def table_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = ARROW_ROWS) -> DataFrame:
+    """mapInArrow over slices of at most `rows` rows."""
     prepare(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
+
+    return df.mapInArrow(sliced, schema)
+
+
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Arrays by byte planes, compressed."""
+    out = []
+    for x in arrays:
+        data = zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+        out.append(struct.pack("<4sqq", x.dtype.str.encode(), len(x), len(data)) + data)
+    return b"".join(out)
+
+
+def unbundle(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<4sqq", data, at)
+        at += 20
+        kind = np.dtype(kind.rstrip(b"\0").decode())
+        planes = np.frombuffer(zstandard.decompress(data[at : at + size]) if n else b"", np.uint8).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size
+    return out
 
 
 def ascii_lower(text):
@@ -113,3 +162,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_PRIMES = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: tuple = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def span_hashes(x: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [at, end) of x, never 0; equal bytes have equal hashes, wherever they stand."""
+    global _powers
+    if len(_powers[0]) < len(x):
+        size = 1 << len(x).bit_length()
+        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in _PRIMES)
+    sums = np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(x)])
+    h = (sums[end - 1] - np.where(at > 0, sums[at - 1], np.uint64(0))) * _powers[1][at]
+    h = mix64(h + (end - at).astype(np.uint64) * _PRIMES[0])
+    h[h == 0] = 1
+    return h
+
+
+def in_parts(data: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in lists of at most `most` bytes, as far as their own length lets."""
+    part, size = [], 0
+    for x in data:
+        if part and size + len(x) > most:
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += len(x)
+    if part:
+        yield part

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import free, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,9 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("c"))
+        step = labels.select("id", "comp").join(near, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("comp").alias("up"))
         moved = written(step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("up", "c")).alias("comp")), "labels")
-        labels = moved.select("id", "comp")
+        free(labels)
+        labels = moved
         if moved.where("old <> comp").isEmpty():
-            return labels
+            free(both)
+            return labels.select("id", "comp")

@@ -16,8 +16,7 @@ links AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep
 e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 comps AS (SELECT a AS rep, min(b) AS comp FROM reach GROUP BY 1)"""
-OP1 = f"WITH {_SETS} SELECT doc_id, n.n AS n_shingles, coalesce(rep, doc_id) AS class_id, coalesce(comp, doc_id) AS component_id FROM n LEFT JOIN reps USING (m, n) LEFT JOIN comps USING (rep)"
-OP1_LINKS = f"WITH {_SETS}, k AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY 1) SELECT doc_id, n.n AS n_shingles, coalesce(rep, doc_id) AS class_id, coalesce(comp, doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM n LEFT JOIN reps USING (m, n) LEFT JOIN comps USING (rep) LEFT JOIN k USING (rep)"
+OP1 = f"WITH {_SETS}, k AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY 1) SELECT doc_id, n.n AS n_shingles, coalesce(rep, doc_id) AS class_id, coalesce(comp, doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM n LEFT JOIN reps USING (m, n) LEFT JOIN comps USING (rep) LEFT JOIN k USING (rep)"
 
 _FITS = {r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')" for r in ("example.net/de/8", "example.com/en/7", "org/es/", "net/de/", "com/en/")}
 #: No link of the driver's pages leaves its host, so each host's ranks are its seeds' shares; the propagation itself is held by unit tests.

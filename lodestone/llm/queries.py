@@ -28,11 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op1_ngram_jaccard", oracles.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_links(spark, sf_dir).drop("n_links")
-
-
-@query("op1_ngram_links", oracles.OP1_LINKS)
-def op1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
