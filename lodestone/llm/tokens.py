@@ -1,33 +1,42 @@
 """Token counts by a map-side two-tier lookup.
 
-The unit of lookup is the run of characters between white space (space, tab, LF, CR): for a tokenizer that drops
-white space before it splits, a run's tokens depend on nothing around it, so a text's ids are those of its runs in
-order. Tier one is a broadcast table of the frequent runs' lengths (bounded: TABLE_RUNS entries); tier two is each
-Python worker's own bounded cache, filled by encoding the runs that miss. No run is ever shuffled: the frequent runs
-are found by bounded summaries (one row for each partition) that are merged as a tree.
+The unit of lookup is the pre-token: for a tokenizer that lower-cases and drops white space, a text's ids are those of
+its pre-tokens in order. Tier one is a broadcast table of the frequent pre-tokens' lengths (bounded: TABLE entries);
+tier two is each Python worker's own bounded cache, filled by encoding those that miss. No pre-token is ever shuffled:
+the frequent ones are found by bounded summaries (one row for each partition) that are merged as a tree.
 
-Null text counts as empty. Ties among equally frequent runs only change what is looked up where, never a count.
+Null text counts as empty; texts are taken whole at any length. Ties among equally frequent pre-tokens only change what
+is looked up where, never a count.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
-from array import array
+import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mapped, table_batch, texts, whole
+from lodestone.llm.common import in_parts, mapped, span_hashes, table_batch, texts, whole
 
-#: Bounds: entries of the broadcast table, of one partition's summary, and of a worker's cache; summaries merged at a time.
-TABLE_RUNS, SUMMARY_RUNS, CACHE_RUNS, FAN = 16_384, 2_048, 700_000, 32
+#: Bounds: entries of the broadcast table, of one partition's summary, and of a worker's cache; bytes of an entry that is kept; summaries merged at a time.
+TABLE, SUMMARY, CACHE, LONG_BYTES, FAN = 16_384, 2_048, 1_000_000, 256, 32
 SPACES = bytes.maketrans(b"\t\n\r", b"   ")
-ENDS = b".,;:!?|#$%&*()"
+#: Fixed values, the tokenizer's: pre-tokens are 's 't 're 've 'm 'll 'd, runs of letters, single digits, and runs of other characters.
+PRE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
+ONE = np.frombuffer(b"stmd", np.uint8)
+#: Kinds of bytes of lower-case text; characters beyond ASCII stay with the letters around them, control characters alone.
+LETTER, DIGIT = 1, 2
+KINDS = np.array([0 if c in b" \t\n\r" else 4 if c < 32 or c == 127 else 1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
+#: Below this character all versions of Unicode's tables since 5 agree on what a letter is.
+SURE = "\u0530"
 _tokenizers: dict = {}
 _tables: dict = {}
 
@@ -45,76 +54,210 @@ def tokenizer(path: str):
 
 
 def splits_at_spaces(path: str) -> bool:
-    """Whether the tokenizer drops white space before it splits, so that runs between spaces are independent."""
+    """Whether the tokenizer lower-cases, and drops white space before it splits, so that runs between spaces are independent."""
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
     pre = json.dumps(held.get("pre_tokenizer") or {})
-    return held["model"].get("end_of_word_suffix") == "</w>" and '"invert": true' in pre and '"behavior": "Removed"' in pre and not any(x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"]) for x in held["added_tokens"])
-
-
-class RunTable(dict):
-    """run -> value of its ids. Fixed entries stay; the others are bounded and stay with the process from task to task.
-
-    What a run holds besides letters at its ends (full stops, commas and the like) are pre-tokens of their own, so a
-    run of letters between them is looked up as such, in ASCII lower case (the tokenizer lower-cases anyway).
+    return '"Lowercase"' in json.dumps(held.get("normalizer")) and held["model"].get("end_of_word_suffix") == "</w>" and '"invert": true' in pre and '"behavior": "Removed"' in pre and not any(x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"]) for x in held["added_tokens"])
+
+
+def sure(token: bytes) -> bool:
+    """Whether letters beyond ASCII are one pre-token of the tokenizer's too: still letters after normalising and lower-casing, of scripts on whose letters all Unicode tables agree."""
+    text = token.decode("utf-8", "replace")
+    return max(text) < SURE and text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
+class Slots:
+    """Open addressing in arrays: 64-bit hash -> number."""
+
+    def __init__(self, bits: int):
+        self.keys, self.at, self.shift, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64(64 - bits), (1 << bits) - 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's number, -1 where it isn't here."""
+        out, slot = np.full(len(h), -1, np.int32), (h >> self.shift).astype(np.int64)
+        held = self.keys[slot]
+        hit = held == h
+        out[hit] = self.at[slot[hit]]
+        rest = np.flatnonzero(~hit & (held != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            held = self.keys[slot[rest]]
+            hit = held == h[rest]
+            out[rest[hit]] = self.at[slot[rest[hit]]]
+            rest = rest[~hit & (held != 0)]
+        return out
+
+    def put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """New hashes, each once."""
+        slot, rest = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(rest):
+            free = rest[self.keys[slot[rest]] == 0]
+            self.keys[slot[free]] = h[free]
+            won = self.keys[slot[rest]] == h[rest]
+            self.at[slot[rest[won]]] = numbers[rest[won]]
+            rest = rest[~won]
+            slot[rest] = (slot[rest] + 1) & self.mask
+
+
+class Lookup:
+    """pre-token -> its ids, in flat arrays: pre-tokens are found in the bytes of many texts at once and looked up by 64-bit hashes.
+
+    Fixed entries stay. When the others reach `bound`, all of them go and are learnt anew. Pre-tokens beyond LONG_BYTES
+    aren't kept, so memory doesn't grow with their length. A text that holds one, or anything that isn't sure to be one
+    pre-token, or an added token's string, is taken run by run between white space, and such runs are encoded as they are.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], add: Callable[[list], object], bound: int = CACHE_RUNS):
-        super().__init__()
-        self.bound, self.value, self.add, self.tok = bound, value, add, tokenizer(path)
-        self.fixed = {b"": value([])}
-        self.update(self.fixed)
-
-    def fix(self, entries: dict[bytes, object]) -> None:
-        self.fixed.update(entries)
-        self.update(entries)
-
-    def learn(self, lists: list[list[bytes]]) -> None:
-        """Make sure that every run of the lists is here."""
-        miss = set().union(*lists).difference(self) if lists else set()
-        if len(self) + len(miss) > self.bound + len(self.fixed):
+    def __init__(self, path: str, bound: int = CACHE):
+        self.bound, self.tok = bound, tokenizer(path)
+        self.added = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, np.bool_)
+        self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.fixed: dict[bytes, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Fixed entries have lengths alone: a process that takes ids fixes none."""
+        self.slots = Slots((2 * self.bound).bit_length())
+        self.n, self.size = len(self.fixed), 0
+        self.counts_, self.first = np.zeros(self.bound + self.n + 1, np.int32), np.zeros(self.bound + self.n + 1, np.int64)
+        self.pool = np.zeros(4 * self.bound, np.uint32)
+        if self.fixed:
+            buf = b" ".join(self.fixed) + b" "
+            h, *_ = _tokens(buf)
+            self.slots.put(h, np.arange(self.n, dtype=np.int32))
+            self.counts_[: self.n] = list(self.fixed.values())
+
+    def fix(self, entries: dict[bytes, int]) -> None:
+        """Lengths that are known already, of pre-tokens."""
+        if entries != self.fixed:
+            self.fixed = dict(entries)
             self.clear()
-            self.update(self.fixed)
-            miss = set().union(*lists).difference(self) if lists else set()
-        if not miss:
-            return
-        parts, alone = {}, set()
-        for run in miss:
-            core = run.strip(ENDS)
-            at = run.find(core)
-            if core != run and core and core.decode("utf-8", "replace").isalpha():
-                parts[run] = split = (run[:at], core.lower(), run[at + len(core) :])
-                alone.update(x for x in split if x not in self)
-            else:
-                alone.add(run)
-        self._encode(alone)
-        for run, split in parts.items():
-            self[run] = self.add([self[x] for x in split])
-
-    def _encode(self, runs: set[bytes]) -> None:
-        words, others = [], []
-        for run in runs:
-            text = run.decode("utf-8", "replace")
-            (words if text.isalpha() else others).append((run, text))
-        for i in range(0, len(words), 512):  # letters alone are one pre-token each, as a rule: many are encoded as one text
+
+    def counts(self, data: list[bytes]) -> list[int]:
+        """Each text's number of ids."""
+        out = []
+        for part in in_parts(data):
+            first, number, odd = self._numbers(part)
+            total = np.concatenate([[0], np.cumsum(self.counts_[number], dtype=np.int64)])
+            n = (total[first[1:]] - total[first[:-1]]).tolist()
+            out += [len(self._odd(x)) // 4 if bad else k for x, k, bad in zip(part, n, odd, strict=True)]
+        return out
+
+    def ids(self, data: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian bytes of 4."""
+        out = []
+        for part in in_parts(data):
+            first, number, odd = self._numbers(part)
+            counts = self.counts_[number].astype(np.int64)
+            counts[counts < 0] = 0
+            total = np.concatenate([[0], np.cumsum(counts)])
+            held = self.pool[np.repeat(self.first[number] - total[:-1], counts) + np.arange(total[-1])].astype("<u4").tobytes()
+            ends = (4 * total[first]).tolist()
+            out += [self._odd(x) if bad else held[lo:hi] for x, lo, hi, bad in zip(part, ends[:-1], ends[1:], odd, strict=True)]
+        return out
+
+    def _numbers(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts: where each one's pre-tokens begin, each pre-token's entry, and the texts that must be taken by runs."""
+        buf = b"\n".join(data).lower() + b"\n"
+        h, start, end = _tokens(buf)
+        first = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in data)]))
+        number = self.slots.find(h)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
+            new, at = np.unique(h[miss], return_index=True)
+            if self.n + len(new) > self.bound + len(self.fixed):
+                self.clear()
+                number = self.slots.find(h)
+                miss = np.flatnonzero(number < 0)
+                new, at = np.unique(h[miss], return_index=True)
+            self._learn(new, [buf[i:j] for i, j in zip(start[miss[at]].tolist(), end[miss[at]].tolist(), strict=True)])
+            number[miss] = self.slots.find(h[miss])
+        bad = np.concatenate([[0], np.cumsum(self.counts_[number] < 0)])
+        odd = bad[first[1:]] > bad[first[:-1]]
+        for k, text in enumerate(data):
+            odd[k] |= any(x in text for x in self.added)
+        return first, number, odd
+
+    def _learn(self, hashes: np.ndarray, tokens: list[bytes]) -> None:
+        words, others, counts, held = [], [], np.full(len(tokens), -1, np.int64), {}
+        for k, x in enumerate(tokens):
+            if len(x) > LONG_BYTES:
+                continue
+            if x.isalpha() or not x.isascii() and sure(x):  # ASCII letters, or others
+                words.append(k)
+            elif x.isascii() and 32 < x[0] < 127:
+                others.append(k)
+        for i in range(0, len(words), 512):  # letters alone are one pre-token each: many are encoded as one text, and parted where a word ends
             part = words[i : i + 512]
-            enc = self.tok.encode(" ".join(x for _, x in part), add_special_tokens=False)
-            if len(set(enc.word_ids)) != len(part):
+            ids = np.array(self.tok.encode_batch_fast([b" ".join([tokens[k] for k in part]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                counts[part] = np.diff(ends, prepend=0)
+                held[part[0]] = part, ids
+            else:
                 others += part
-                continue
-            ids: list[list[int]] = [[] for _ in part]
-            for k, t in zip(enc.word_ids, enc.ids, strict=True):
-                ids[k].append(t)
-            for (run, _), own in zip(part, ids, strict=True):
-                self[run] = self.value(own)
-        for run, text in others:
-            self[run] = self.value(self.tok.encode(text, add_special_tokens=False).ids)
-
-
-def run_table(path: str, kind: str) -> RunTable:
-    """The process's table of lengths ("n") or of ids as little-endian bytes ("ids")."""
+        for k in others:
+            ids = self._encode(tokens[k])
+            counts[k] = len(ids)
+            held[k] = [k], ids
+        for part, ids in held.values():
+            if self.size + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+            self.pool[self.size : self.size + len(ids)] = ids
+            own = counts[part]
+            self.first[self.n + np.array(part)] = self.size + np.cumsum(own) - own
+            self.size += len(ids)
+        self.counts_[self.n : self.n + len(tokens)] = counts
+        self.slots.put(hashes, np.arange(self.n, self.n + len(tokens), dtype=np.int32))
+        self.n += len(tokens)
+
+    def _encode(self, run: bytes) -> np.ndarray:
+        return np.array(self.tok.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def _odd(self, text: bytes) -> bytes:
+        """A text's ids run by run."""
+        runs = text.translate(SPACES).split(b" ")
+        known: dict[bytes, bytes] = {}
+        new = list(dict.fromkeys(runs))
+        for i in range(0, len(new), 4096):
+            part = [x for x in new[i : i + 4096] if len(x) <= LONG_BYTES]
+            _, number, odd = self._numbers(part) if part else (None, None, [])
+            good = [x for x, bad in zip(part, odd, strict=True) if not bad]
+            known.update(zip(good, self.ids(good), strict=True) if good else ())
+        return b"".join(known[x] if x in known else known.setdefault(x, self._encode(x).astype("<u4").tobytes()) for x in runs)
+
+
+def _tokens(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each pre-token of lower-case bytes that end with white space."""
+    x = np.frombuffer(buf, np.uint8)
+    kind = KINDS[x]
+    begin = np.empty(len(x), np.bool_)
+    begin[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begin[1:])
+    begin |= kind == DIGIT
+    # a contraction begins with an apostrophe that begins a pre-token
+    mark = np.flatnonzero((x[:-1] == 39) & begin[:-1])
+    if len(mark):
+        y = np.concatenate([x, np.zeros(3, np.uint8)])
+        one, two = y[mark + 1], y[mark + 2]
+        size = np.where(np.isin(one, ONE), 2, np.where(((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108), 3, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        begin[mark + 1] = False
+        after = mark + size
+        begin[after[kind[after] == LETTER]] = True
+    at = np.flatnonzero(begin)
+    end = np.append(at[1:], len(x))
+    own = kind[at] > 0
+    at, end = at[own], end[own]
+    return span_hashes(x, at, end), at, end
+
+
+def lookup(path: str, kind: str) -> Lookup:
+    """The process's table for lengths ("n") or for ids."""
     if (path, kind) not in _tables:
-        _tables[path, kind] = RunTable(path, len, sum) if kind == "n" else RunTable(path, lambda ids: array("I", ids).tobytes(), b"".join)
+        _tables[path, kind] = Lookup(path)
     return _tables[path, kind]
 
 
@@ -134,22 +277,18 @@ def unpack_table(data: bytes) -> dict[bytes, int]:
     return out
 
 
-def runs_of(text: bytes) -> list[bytes]:
-    return text.translate(SPACES).split(b" ")
-
-
-def frequent_runs(docs: DataFrame, text_col: str = "text", most: int = TABLE_RUNS) -> bytes:
-    """The packed table of the most frequent runs of all texts (heavy hitters: exact for runs that lead in their partitions)."""
+def frequent(docs: DataFrame, table: Lookup, tokenizer_file: str, text_col: str = "text", most: int = TABLE) -> bytes:
+    """The packed lengths of the most frequent pre-tokens of all texts (heavy hitters: exact for those that lead in their partitions)."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in texts(batch, 0):
-                seen.update(x for x in runs_of(text) if len(x) < 64)
-            if len(seen) > 64 * SUMMARY_RUNS:
-                seen = Counter(dict(seen.most_common(16 * SUMMARY_RUNS)))
+                seen.update(PRE.findall(text.lower()))
+            if len(seen) > 64 * SUMMARY:
+                seen = Counter(dict(seen.most_common(16 * SUMMARY)))
         part = TaskContext.get().partitionId()
-        yield table_batch(pa.schema([("part", pa.int64()), ("summary", pa.binary())]), [[part], [pack_table(dict(seen.most_common(SUMMARY_RUNS)))]])
+        yield table_batch(pa.schema([("part", pa.int64()), ("summary", pa.binary())]), [[part], [pack_table({x: c for x, c in seen.most_common(SUMMARY) if len(x) < 64})]])
 
     def merge(table: pa.Table) -> pa.Table:
         seen: Counter = Counter()
@@ -162,8 +301,10 @@ def frequent_runs(docs: DataFrame, text_col: str = "text", most: int = TABLE_RUN
     parts = max(1, docs.rdd.getNumPartitions())
     while parts > 1:
         level, parts = level.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(merge, "part long, summary binary"), -(-parts // FAN)
-    rows = level.select("summary").collect()  # one row of at most TABLE_RUNS runs
-    return bytes(rows[0][0]) if rows else pack_table({})
+    rows = level.select("summary").collect()  # one row of at most TABLE entries
+    leading = list(unpack_table(bytes(rows[0][0]))) if rows else []
+    leading = [x for x in leading if 32 < x[0] and (x.isascii() or sure(x))]
+    return pack_table(dict(zip(leading, table.counts(leading), strict=True)))
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,28 +314,20 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, *, limit: int = 2048, id_
     A tokenizer that keeps white space is applied to whole texts instead of runs.
     """
     spark = docs.sparkSession
-    by_runs = splits_at_spaces(tokenizer_file)
-    hot = run_table(tokenizer_file, "n") if by_runs else None
-    if by_runs:
-        frequent = list(unpack_table(frequent_runs(docs, text_col)))
-        hot.learn([frequent])
-    held = spark.sparkContext.broadcast(pack_table({x: hot[x] for x in frequent}) if by_runs else b"")
+    parted = splits_at_spaces(tokenizer_file)
+    held = spark.sparkContext.broadcast(frequent(docs, lookup(tokenizer_file, "n"), tokenizer_file, text_col) if parted else b"")
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = pa.string() if kind == "string" else pa.int64()
     schema = pa.schema([(id_col, id_type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, table = tokenizer(tokenizer_file), run_table(tokenizer_file, "n")
-        if by_runs:
+        tok = tokenizer(tokenizer_file)
+        if parted:
+            table = lookup(tokenizer_file, "n")
             table.fix(unpack_table(held.value))
         for batch in batches:
             data = texts(batch, 1)
-            if by_runs:
-                lists = [runs_of(x) for x in data]
-                table.learn(lists)
-                n = [sum(map(table.__getitem__, x)) for x in lists]
-            else:
-                n = [len(e.ids) for e in tok.encode_batch_fast([x.decode("utf-8", "replace") for x in data], add_special_tokens=False)]
+            n = table.counts(data) if parted else [len(e.ids) for e in tok.encode_batch_fast([x.decode("utf-8", "replace") for x in data], add_special_tokens=False)]
             yield table_batch(schema, [batch.column(0).cast(id_type), list(map(len, data)), n, [x > limit for x in n]])
 
     return mapped(whole(docs, id_col, text_col), count, f"`{id_col}` {'string' if kind == 'string' else 'long'}, n_bytes long, n_tokens long, over_limit boolean")
