@@ -11,37 +11,31 @@ arcs, and each arc's count; one chunk of those that hold a history counts it as
 same. A chunk then follows its texts from state to state by its answers. A shard's size is bounded: there are at least
 as many shards as chunks / CHUNKS_A_SHARD.
 
-Words and histories are compared by 64-bit hashes, the arcs of one history by 48 bits. Null texts count as empty: the end alone. Repeated rows are scored
-each; ids are hashed as text to choose held-out rows. An empty table gives no rows.
-
-train() is the same automaton as one object, pruned to fixed bounds (KNOWN words, N_GRAM_WORDS, ARCS); score() doesn't
-use it.
+Words are compared by 64-bit hashes, histories by 56 bits, the arcs of one history by 40. Null texts count as empty:
+the end alone. A text of any length is one piece of its chunk. Repeated rows are scored each; ids are hashed as text to
+choose held-out rows. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
-import struct
-import time
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mapped, mix64, prepare, table_batch, texts, whole, written
+from lodestone.llm.common import bundle, mapped, mix64, prepare, table_batch, texts, unbundle, whole, written
 
-#: Words with broadcast counts; words of which n-grams are made; arcs; discount; entries before a task flushes counts.
-KNOWN, N_GRAM_WORDS, ARCS, DISCOUNT, FLUSH = (1 << 18) - 2, (1 << 16) - 2, 1 << 19, 0.75, 1 << 22
+DISCOUNT = 0.75
 #: Words of a chunk; chunks for each of which there is a shard.
-CHUNK, CHUNKS_A_SHARD = 1 << 21, 2
-END, BEGIN = b" ", N_GRAM_WORDS + 1  # the end as a word that no text has; the begin as a history's word
+CHUNK, CHUNKS_A_SHARD = 1 << 20, 2
+#: Bits of the hashes by which histories, and the arcs of one history, are compared.
+HISTORY_BITS, ARC_BITS = 56, 40
+END = b" "  # the end as a word that no text has
 
 
 def held_out(doc) -> bool:
@@ -52,198 +46,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the training texts of (id, text); the end counts once for each text."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, seen = pa.schema([("word", pa.binary()), ("c", pa.int64())]), Counter()
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
-                if not held_out(doc):
-                    seen.update(words_of(text))
-                    seen[END] += 1
-            if len(seen) > FLUSH // 16:
-                yield table_batch(schema, [list(seen), list(seen.values())])
-                seen = Counter()
-        if seen:
-            yield table_batch(schema, [list(seen), list(seen.values())])
-
-    return written(mapped(docs, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-
-
-class Numbers(dict):
-    """word -> rank from 1; 0 for words that aren't known."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-def n_gram_counts(docs: DataFrame, held) -> DataFrame:
-    """(code, c): a code holds up to three word numbers of 16 bits, the last one lowest; words beyond N_GRAM_WORDS break n-grams."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, numbers, kept, size = pa.schema([("code", pa.int64()), ("c", pa.int64())]), held.value.numbers(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            codes, c = np.unique(np.concatenate(kept), return_counts=True)
-            return table_batch(schema, [codes, c.astype(np.int64)])
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
-                if held_out(doc):
-                    continue
-                words = [*words_of(text), END]
-                x = np.empty(len(words) + 1, np.int64)
-                x[0], x[1:] = BEGIN, np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                x[(x > N_GRAM_WORDS) & (x != BEGIN)] = 0
-                x[1:][x[1:] == BEGIN] = 0
-                two = (x[:-1] > 0) & (x[1:] > 0)
-                pairs = x[:-1] << 16 | x[1:]
-                three = two[:-1] & two[1:]
-                kept += [pairs[two], (x[:-2] << 32 | pairs[1:])[three]]
-                size += len(kept[-1]) + len(kept[-2])
-            if size > FLUSH:
-                yield flush()
-                kept, size = [], 0
-        if size:
-            yield flush()
-
-    return mapped(docs, count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-class Automaton:
-    """Built on the driver from bounded tables; a process makes its dictionaries once."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, codes: np.ndarray, times: np.ndarray, texts_: int):
-        self.words, self.total, self.below = words, total, total + distinct + 1
-        self.unigram = np.concatenate([[0.0], np.log10((counts + 1) / self.below)])
-        count = np.concatenate([[0], counts])
-        order = np.argsort(codes)
-        codes, times = codes[order], times[order].astype(float)
-        pair = codes[codes < 1 << 32]
-        c_pair = times[: len(pair)]
-        three, c_three = codes[len(pair) :], times[len(pair) :]
-        history = np.searchsorted(pair, three >> 16)
-        known = (history < len(pair)) & (pair[np.minimum(history, max(0, len(pair) - 1))] == three >> 16) if len(pair) else np.zeros(len(three), bool)
-        three, c_three, history = three[known], c_three[known], history[known]
-        # pairs: history of one word; what is left over is the failure arc's weight
-        first = (pair >> 16).astype(np.int64)
-        of_first = np.where(first == BEGIN, texts_, count[np.minimum(first, len(count) - 1)]).astype(float)
-        share = (c_pair - DISCOUNT) / of_first
-        singles, inverse = np.unique(first, return_inverse=True)
-        left1 = 1 - np.bincount(inverse, share, len(singles)) if len(pair) else np.zeros(0)
-        p_pair = share + left1[inverse] * 10 ** self.unigram[pair & 0xFFFF] if len(pair) else share
-        longer, inverse3 = np.unique(history, return_inverse=True)
-        share3 = (c_three - DISCOUNT) / c_pair[history]
-        left2 = 1 - np.bincount(inverse3, share3, len(longer)) if len(three) else np.zeros(0)
-        lower = np.searchsorted(pair, three & 0xFFFFFFFF)
-        there = (lower < len(pair)) & (pair[np.minimum(lower, max(0, len(pair) - 1))] == three & 0xFFFFFFFF) if len(pair) else np.zeros(len(three), bool)
-        mid = (three >> 16) & 0xFFFF
-        at_mid = np.minimum(np.searchsorted(singles, mid), max(0, len(singles) - 1))
-        weak = np.where(singles[at_mid] == mid, left1[at_mid], 1.0) * 10 ** self.unigram[three & 0xFFFF] if len(three) else np.zeros(0)
-        p_three = share3 + left2[inverse3] * np.where(there, p_pair[np.minimum(lower, max(0, len(pair) - 1))], weak) if len(three) else share3
-        # states: 0 the root, then one-word histories, then two-word histories
-        state1 = {int(w): k + 1 for k, w in enumerate(singles)}
-        state2 = {int(pair[h]): len(singles) + 1 + k for k, h in enumerate(longer)}
-        self.start = state1.get(BEGIN, 0)
-        self.fail = np.concatenate([[0], np.zeros(len(singles), np.int64), [state1.get(int(pair[h] & 0xFFFF), 0) for h in longer]]).astype(np.int32)
-        self.left = np.concatenate([[0.0], np.log10(np.maximum(left1, 1e-300)), np.log10(np.maximum(left2, 1e-300))])
-        after = lambda two: state2.get(two) or state1.get(two & 0xFFFF, 0)
-        self.keys = np.concatenate([[state1[int(c >> 16)] << 16 | int(c & 0xFFFF) for c in pair], [state2[int(pair[h])] << 16 | int(c & 0xFFFF) for h, c in zip(history, three, strict=True)]]).astype(np.int64)
-        self.to = np.concatenate([[after(int(c)) for c in pair], [after(int(c & 0xFFFFFFFF)) for c in three]]).astype(np.int32)
-        self.weights = np.concatenate([np.log10(p_pair), np.log10(p_three)])
-        self.single = np.zeros(len(words) + 1, np.int32)
-        for w, s in state1.items():
-            if w != BEGIN:
-                self.single[w] = s
-        self._numbers = self._linked = None
-
-    def numbers(self) -> Numbers:
-        if self._numbers is None:
-            self._numbers = Numbers({w: k for k, w in enumerate(self.words, 1)})
-        return self._numbers
-
-    def linked(self):
-        if self._linked is None:
-            self._linked = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True)), self.to.tolist(), self.weights.tolist(), self.fail.tolist(), self.left.tolist(), self.unigram.tolist(), self.single.tolist()
-        return self._linked
-
-    def __getstate__(self):
-        return self.__dict__ | {"_numbers": None, "_linked": None}
-
-    def traverse(self, ids: list[int]) -> float:
-        """log10 probability of a text's word numbers, end included; an unknown word (0) leads to the root and leaves its own weight out."""
-        arcs, to, weights, fail, left, unigram, single = self.linked()
-        state, total = self.start, 0.0
-        for w in ids:
-            if 0 < w <= N_GRAM_WORDS:
-                arc = arcs.get(state << 16 | w)
-                while arc is None and state:
-                    total += left[state]
-                    state = fail[state]
-                    arc = arcs.get(state << 16 | w)
-                if arc is not None:
-                    total += weights[arc]
-                    state = to[arc]
-                else:
-                    total += unigram[w]
-                    state = single[w]
-            else:
-                while state:
-                    total += left[state]
-                    state = fail[state]
-                total += unigram[w]
-        return total
-
-
-def train(docs: DataFrame) -> tuple[object, DataFrame]:
-    """The broadcast automaton and the full table of word counts, from (id, text)."""
-    spark = docs.sparkSession
-    words = word_counts(docs)
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
-    known, counts = [bytes(x) for x in top.column("word").to_pylist()], top.column("c").to_numpy().astype(np.int64)
-    none = np.zeros(0, np.int64)
-    numbers = spark.sparkContext.broadcast(Automaton(known, counts, total, distinct, none, none, 0))
-    grams = n_gram_counts(docs, numbers).where("c > 1").orderBy(F.desc("c"), "code").limit(ARCS).toArrow()
-    texts_ = int(counts[known.index(END)]) if END in known else 0
-    model = Automaton(known, counts, total, distinct, grams.column("code").to_numpy(), grams.column("c").to_numpy(), texts_)
-    return spark.sparkContext.broadcast(model), words
-
-
 #: A chunk's words 0, 1 and 2: the begin, the end, and what follows the end so that each word is a history's last. No text has them.
 _MARKS = (b"\n", END, b"\t")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _bundle(*arrays: np.ndarray) -> bytes:
-    """Arrays by byte planes, compressed."""
-    out = []
-    for x in arrays:
-        data = zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
-        out.append(struct.pack("<4sqq", x.dtype.str.encode(), len(x), len(data)) + data)
-    return b"".join(out)
-
-
-def _arrays(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        kind, n, size = struct.unpack_from("<4sqq", data, at)
-        at += 20
-        kind = np.dtype(kind.rstrip(b"\0").decode())
-        planes = np.frombuffer(zstandard.decompress(data[at : at + size]) if n else b"", np.uint8).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += size
-    return out
-
-
 class _Local(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
-def _chunks(id_type: pa.DataType):
+def _chunks(id_type: pa.DataType, most: int):
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +65,7 @@ def _chunks(id_type: pa.DataType):
 
         def flush() -> pa.RecordBatch:
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
-            held = _bundle(np.array([len(x) for x in kept], np.int64), np.array([not held_out(d) for d in ids]), np.concatenate(kept), hashes)
+            held = bundle(np.array([len(x) for x in kept], np.int64), np.array([not held_out(d) for d in ids]), np.concatenate(kept), hashes)
             return table_batch(schema, [[chunk], [ids], [held]])
 
         for batch in batches:
@@ -262,7 +76,7 @@ def _chunks(id_type: pa.DataType):
                 kept.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
                 ids.append(doc)
                 size += len(words)
-                if size >= CHUNK:
+                if size >= most:
                     yield flush()
                     chunk, size, ids, kept = chunk + 1, 0, [], []
         if ids:
@@ -275,7 +89,7 @@ class _Chunk:
     """A chunk's texts as numbers of its distinct pairs and triples of words. Pair k of the texts ends with word k."""
 
     def __init__(self, held: bytes, shards: int):
-        self.lens, train, self.words, self.hashes = _arrays(held)
+        self.lens, train, self.words, self.hashes = unbundle(held)
         n, self.first = len(self.hashes), np.cumsum(self.lens) - self.lens
         self.train = np.repeat(train, self.lens).astype(np.int64)
         starts = self.first + 2 * np.arange(len(self.lens))
@@ -292,9 +106,9 @@ class _Chunk:
         self.history, self.w = np.divmod(triples, n)
         self.times = np.bincount(self.triple, self.train, len(triples)).astype(np.int64)
         # the order of requests, and of answers: by shard, then by hash
-        keys = mix64(mix64(self.hashes[self.u]) + self.hashes[self.v] * _P)
-        shard = (keys % np.uint64(shards)).astype(np.int64)
-        self.order = np.lexsort((keys, shard))
+        keys = mix64(mix64(self.hashes[self.u]) + self.hashes[self.v] * _P) >> np.uint64(64 - HISTORY_BITS)
+        shard = ((keys >> np.uint64(HISTORY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        self.order = np.argsort(keys, kind="stable")  # by shard, too: shards are ranges
         place = np.empty(len(pairs), np.int64)
         place[self.order] = np.arange(len(pairs))
         self.arc_order = np.argsort(place[self.history], kind="stable")
@@ -302,10 +116,10 @@ class _Chunk:
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         arcs = np.bincount(self.history, minlength=len(self.u))[self.order]
-        hw, times = self.hashes[self.w[self.arc_order]] >> np.uint64(16), self.times[self.arc_order]
+        hw, times = self.hashes[self.w[self.arc_order]] >> np.uint64(64 - ARC_BITS), self.times[self.arc_order]
         ends = np.concatenate([[0], np.cumsum(arcs)])
         for s, lo, hi in _runs(self.shard):
-            yield s, _bundle(np.diff(self.keys[lo:hi], prepend=np.uint64(0)), arcs[lo:hi], hw[ends[lo] : ends[hi]], times[ends[lo] : ends[hi]])
+            yield s, bundle(np.diff(self.keys[lo:hi], prepend=np.uint64(0)), arcs[lo:hi], hw[ends[lo] : ends[hi]], times[ends[lo] : ends[hi]])
 
 
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -341,7 +155,7 @@ def _pair_requests(shards: int):
 
 def _pair_answers(key: tuple, table: pa.Table) -> pa.Table:
     """Each chunk's histories with count and number of arcs, and whether the chunk counts them as arcs; and its arcs with counts."""
-    parts = [_arrays(x.as_py()) for x in table.column("held")]
+    parts = [unbundle(x.as_py()) for x in table.column("held")]
     keys, arcs, hw, times = (np.concatenate(x) for x in zip(*((np.cumsum(gaps, dtype=np.uint64), *rest) for gaps, *rest in parts), strict=True))
     keys, first, pair = np.unique(keys, return_index=True, return_inverse=True)
     of = np.repeat(pair, arcs)
@@ -354,7 +168,7 @@ def _pair_answers(key: tuple, table: pa.Table) -> pa.Table:
     rows, lo, at = [], 0, 0
     for chunk, (mine, own_arcs, _, _) in zip(table.column("chunk").to_pylist(), parts, strict=True):
         hi, to = lo + len(mine), at + int(own_arcs.sum())
-        rows.append((chunk, key[0].as_py(), "pairs", _bundle(c2[pair[lo:hi]], n2[pair[lo:hi]], own[lo:hi], c3[arc[at:to]])))
+        rows.append((chunk, key[0].as_py(), "pairs", bundle(c2[pair[lo:hi]], n2[pair[lo:hi]], own[lo:hi], c3[arc[at:to]])))
         lo, at = hi, to
     return pa.Table.from_batches([_packets(rows)])
 
@@ -362,7 +176,7 @@ def _pair_answers(key: tuple, table: pa.Table) -> pa.Table:
 def _gathered(table: pa.Table, kind: str) -> Iterator[np.ndarray]:
     """The answers of one kind, in the order of requests."""
     rows = zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "held")), strict=True)
-    return (np.concatenate(x) for x in zip(*(_arrays(h) for _, h in sorted((s, h) for k, s, h in rows if k == kind)), strict=True))
+    return (np.concatenate(x) for x in zip(*(unbundle(h) for _, h in sorted((s, h) for k, s, h in rows if k == kind)), strict=True))
 
 
 def _put(order: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -380,7 +194,7 @@ def _word_requests(shards: int):
         times[0] = chunk.n_train  # the begin
         follow = np.bincount(chunk.u, _put(chunk.order, own), len(chunk.hashes)).astype(np.int64)
         order, shard = _word_order(chunk.hashes, shards)
-        rows = [(key[0].as_py(), s, "words", _bundle(*(x[order[lo:hi]] for x in (chunk.hashes, times, follow)))) for s, lo, hi in _runs(shard)]
+        rows = [(key[0].as_py(), s, "words", bundle(*(x[order[lo:hi]] for x in (chunk.hashes, times, follow)))) for s, lo, hi in _runs(shard)]
         return pa.Table.from_batches([_packets(rows)])
 
     return run
@@ -388,17 +202,17 @@ def _word_requests(shards: int):
 
 def _word_answers(key: tuple, table: pa.Table) -> pa.Table:
     """Each chunk's words with count and number of arcs; and the shard's sum of counts and number of training words."""
-    parts = [_arrays(x.as_py()) for x in table.column("held")]
+    parts = [unbundle(x.as_py()) for x in table.column("held")]
     hashes, times, follow = (np.concatenate(x) for x in zip(*parts, strict=True))
     words, at = np.unique(hashes, return_inverse=True)
     c1, n1 = (np.bincount(at, x, len(words)).astype(np.int64) for x in (times, follow))
     rows, lo = [], 0
     for chunk, (own, _, _) in zip(table.column("chunk").to_pylist(), parts, strict=True):
         mine = at[lo : lo + len(own)]
-        rows.append((chunk, key[0].as_py(), "words", _bundle(c1[mine], n1[mine])))
+        rows.append((chunk, key[0].as_py(), "words", bundle(c1[mine], n1[mine])))
         lo += len(own)
     real = words != np.uint64(xxhash.xxh3_64_intdigest(_MARKS[0]))
-    rows.append((None, key[0].as_py(), "sums", _bundle(np.array([c1[real].sum(), (c1[real] > 0).sum()], np.int64))))
+    rows.append((None, key[0].as_py(), "sums", bundle(np.array([c1[real].sum(), (c1[real] > 0).sum()], np.int64))))
     return pa.Table.from_batches([_packets(rows)])
 
 
@@ -430,31 +244,19 @@ def _scores(shards: int, total: int, distinct: int, out: pa.Schema):
     return run
 
 
-def _drop_shuffles(spark) -> None:
-    """Let Spark drop the shuffle files of finished jobs; its cleaner runs beside, and is given time."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
-
-
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, trained on the texts that aren't held out."""
     spark = prepare(docs.sparkSession)
     docs = whole(docs, id_col, text_col)
     id_type, ddl_id = (pa.string(), "string") if docs.schema[id_col].dataType.simpleString() == "string" else (pa.int64(), "long")
-    chunks = written(mapped(docs, _chunks(id_type), f"chunk long, ids array<{ddl_id}>, held binary"), "chunks")
+    chunks = written(mapped(docs, _chunks(id_type, CHUNK), f"chunk long, ids array<{ddl_id}>, held binary"), "chunks")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // CHUNKS_A_SHARD))
     packets = mapped(chunks.select("chunk", "held"), _pair_requests(shards), PACKET_DDL)
     pairs = written(packets.groupBy("shard").applyInArrow(_pair_answers, PACKET_DDL), "pair_answers")
-    del packets
-    _drop_shuffles(spark)
     rows = chunks.select("chunk", F.lit(None).cast("long").alias("shard"), F.lit("texts").alias("kind"), "held", "ids").unionByName(pairs, allowMissingColumns=True)
     asked = rows.groupBy("chunk").applyInArrow(_word_requests(shards), PACKET_DDL)
     words = written(asked.groupBy("shard").applyInArrow(_word_answers, PACKET_DDL), "word_answers")
-    del asked
-    _drop_shuffles(spark)
-    sums = [_arrays(bytes(r[0]))[0] for r in words.where("kind = 'sums'").select("held").toLocalIterator()]
+    sums = [unbundle(bytes(r[0]))[0] for r in words.where("kind = 'sums'").select("held").toLocalIterator()]
     total, distinct = (int(sum(x[k] for x in sums)) for k in (0, 1))
     rows = rows.unionByName(words.where("kind = 'words'"), allowMissingColumns=True)
     out = pa.schema([(id_col, id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
