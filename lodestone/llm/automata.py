@@ -159,10 +159,8 @@ class Dfa:
     def _minimal(table: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Moore's partition refinement; the start state stays number 0."""
         part = np.unique(accepts, return_inverse=True)[1].ravel()
-        weights = np.random.default_rng(7).integers(1, 1 << 63, table.shape[1] + 1, dtype=np.uint64) | np.uint64(1)  # rows are compared by a 64-bit sum
         while True:
-            mark = weights[0] * part.astype(np.uint64) + (part[table].astype(np.uint64) * weights[1:]).sum(axis=1)
-            finer = np.unique(mark, return_inverse=True)[1].ravel()
+            finer = np.unique(np.column_stack([part, part[table]]), axis=0, return_inverse=True)[1].ravel()
             if finer.max() == part.max():
                 break
             part = finer

@@ -148,8 +148,12 @@ class Phrases:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The columns of `keep` and the struct `hits` of every document: n_words, n_hit, items (sorted ids) and spans (code points to remove, merged)."""
-    spark = docs.sparkSession
+    """The columns of `keep` and the struct `hits` of every document: n_words, n_hit, items (sorted ids) and spans (code points to remove, merged).
+
+    A column called hits isn't kept. Null and empty texts have no words; texts of any length are taken whole. Repeated
+    rows come out alike, items with the same phrase are both found, and empty tables give no rows or no hits.
+    """
+    spark, keep = docs.sparkSession, tuple(c for c in keep if c != "hits")
     blocks, size = [[]], 0
     for row in benchmark.select(item_col, F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
         text = row[1].encode()

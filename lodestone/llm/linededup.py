@@ -130,7 +130,11 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "n_dropped_lines") -> DataFrame:
-    """All rows of the input, their texts without the dropped lines, and how many lines were dropped."""
+    """All rows of the input, their texts without the dropped lines, and how many lines were dropped.
+
+    Columns keep their names, but for one called as `dropped_col`, whose place it takes. Texts of any length are taken
+    whole. Of equal lines the one of the smallest id and then place stays; repeated rows lose the same lines.
+    """
     dropped = dropped_lines(docs, id_col=id_col, text_col=text_col)
     by_doc = written(dropped.groupBy("doc").agg(F.collect_set("line").alias("lines")), "by_doc")  # bounded by a document's own lines
     free(dropped)

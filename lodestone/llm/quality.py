@@ -127,7 +127,9 @@ def _repeated(df: DataFrame, words: str, out: str) -> DataFrame:
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", verdict: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """All rows, with all columns of the input (or those of `keep`), and the struct `verdict`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
-    The rows are written once with their histograms, so that texts are taken apart only once for references and verdicts.
+    Null and empty texts have no words and fail the base rules; texts of any length are taken whole. Repeated rows come
+    out alike, equal histograms get equal verdicts, and an empty table gives no rows. Columns keep their names, but for
+    one called as `verdict`, whose place it takes. The rows are written once with their histograms, so that texts are taken apart only once for references and verdicts.
     """
     words, repeated, chars, common, feature, ref_lang, ref_chars, ref_words = _names(docs, "w", "r", "c", "h", "f", "rl", "rc", "rw")
     df = with_words(docs, text_col, words)
@@ -145,7 +147,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ve
         F.col(chars).alias("chars"),
         F.col(common).alias("common"),
     )
-    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != verdict]
     features = written(df.select(*columns, found.alias(feature)), "quality")
     refs = references(features, feature).select(F.col("ref_lang").alias(ref_lang), F.col("ref_chars").alias(ref_chars), F.col("ref_words").alias(ref_words))
     df = features.join(F.broadcast(refs), F.col(feature)["lang"] == F.col(ref_lang), "left")

@@ -64,7 +64,7 @@ class Scanner:
         return found
 
     @staticmethod
-    def _far(side: tuple, data: bytes) -> int:
+    def _far(side: tuple, data: memoryview) -> int:
         """Bytes of the longest prefix that the automaton accepts, or -1."""
         rows, dead = side
         row, best = rows[0], -1
@@ -79,22 +79,27 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, kind number, end) in bytes, by start and then kind."""
-        found, last = [], [0] * len(self.kinds)
+        found, last, view = [], [0] * len(self.kinds), memoryview(data)  # slices of a view copy nothing
         for end, bits in self.hits(data):
             for k in range(len(self.kinds)):
                 if bits >> k & 1 and end > last[k]:
-                    back = self._far(self.sides[0][k], data[last[k] : end][::-1])
+                    back = self._far(self.sides[0][k], view[last[k] : end][::-1])
                     if back < 0:
                         continue
                     start = end - back
-                    last[k] = start + self._far(self.sides[1][k], data[start:])
+                    last[k] = start + self._far(self.sides[1][k], view[start:])
                     if last[k] - start >= self.least[k]:
                         found.append((start, k, last[k]))
         return sorted(found)
 
 
 def scan(docs: DataFrame, rules: dict[str, tuple[str, int]] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and `spans`, an array of (kind, start, end): code points, end exclusive, by start and then kind as listed."""
+    """id and `spans`, an array of (kind, start, end): code points, end exclusive, by start and then kind as listed.
+
+    Null and empty texts have no spans; texts of any length are scanned whole. Matches of several kinds may overlap, those
+    of one kind don't: the leftmost is taken. Repeated rows come out alike; an empty table gives no rows. Only the two
+    columns are read, so other names don't matter.
+    """
     held = docs.sparkSession.sparkContext.broadcast(Scanner(rules))  # a few MB: its size depends on the rules alone
     ddl_id = docs.schema[id_col].dataType.simpleString()
     value = re.compile(ASSIGN)
