@@ -156,12 +156,19 @@ def scrub(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"(?i)\b(sk-[A-Za-z0-9_-]{6,})", "[REDACTED]"), r"(?i)(bearer\s+)[A-Za-z0-9._-]+", "$1[REDACTED]")
 
 
+#: Licences by what names them, the first that does; $1 and $2 are a deed's kind and version.
+LICENCES = (
+    (r"creativecommons\.org/licenses/(by(?:-nc)?(?:-nd|-sa)?)/(2\.0|2\.5|3\.0|4\.0)(?:/|\b)", "CC-$1-$2"),
+    (r"creativecommons\.org/publicdomain/zero/1\.0()()", "CC0-1.0"),
+    (r"creative commons attribution 4\.0()()", "CC-BY-4.0"),
+)
+
+
 def licence_code(text: Column, url: Column) -> Column:
     """F16: a Creative Commons code such as CC-BY-4.0, or null."""
-    v = F.lower(F.concat_ws(" ", text, url))
-    pattern = r"creativecommons\.org/licenses/(by(?:-nc)?(?:-nd|-sa)?)/(2\.0|2\.5|3\.0|4\.0)(?:/|\b)"
-    code = F.concat(F.lit("CC-"), F.upper(F.regexp_extract(v, pattern, 1)), F.lit("-"), F.regexp_extract(v, pattern, 2))
-    return F.when(v.rlike(pattern), code).when(F.contains(v, F.lit("creativecommons.org/publicdomain/zero/1.0")), "CC0-1.0").when(F.contains(v, F.lit("creative commons attribution 4.0")), "CC-BY-4.0")
+    said = F.lower(F.concat_ws(" ", text, url))
+    codes = [F.when(said.rlike(p), F.upper(F.regexp_replace(F.regexp_extract(said, p, 0), f"^{p}$", code))) for p, code in LICENCES]
+    return F.coalesce(*codes)
 
 
 def _any(x: Column, words: tuple[str, ...]) -> Column:

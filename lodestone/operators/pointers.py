@@ -65,9 +65,12 @@ def best_page(captions: DataFrame, pages: DataFrame, *, least: float = 0.59, mar
     """For each caption (doc_id, caption_id, tokens) the page (doc_id, page, tokens) with the most of its tokens, if clearly ahead of the next. Candidates share a token within the document."""
     c = captions.select("doc_id", "caption_id", F.size(F.array_distinct("tokens")).alias("n"), F.explode(F.array_distinct("tokens")).alias("t"))
     hits = c.join(pages.select("doc_id", "page", F.explode(F.array_distinct("tokens")).alias("t")), ["doc_id", "t"]).groupBy("doc_id", "caption_id", "page").agg((F.count("*") / F.first("n")).alias("score"))
-    top = hits.groupBy("doc_id", "caption_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", (-F.col("page")).alias("p"))))), 1, 2).alias("top"))
-    first, second = F.col("top")[0]["score"], F.coalesce(F.get("top", F.lit(1))["score"], F.lit(0.0))
-    return top.where((first >= least) & (first - second >= margin)).select("doc_id", "caption_id", (-F.col("top")[0]["p"]).alias("page"), first.alias("score"))
+    of = ["doc_id", "caption_id"]
+    order = F.struct("score", -F.col("page"))
+    best = hits.groupBy(*of).agg(F.max(order).alias("b"), F.max_by("page", order).alias("page"), F.max("score").alias("score"))
+    rest = hits.join(best.select(*of, F.col("page").alias("first")), of).where("page <> first").groupBy(*of).agg(F.max("score").alias("next"))
+    out = best.where(F.col("score") >= least).join(rest, of, "left")
+    return out.where(F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin).select(*of, "page", "score")
 
 
 def figure_key(label):

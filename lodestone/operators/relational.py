@@ -37,17 +37,31 @@ def acquisition_partition(queue: DataFrame, corpus: DataFrame) -> DataFrame:
     return own.select("row", F.coalesce("doi", F.lit("")).alias("doi"), "title", reason.alias("reason"))
 
 
-def best_title_match(left: DataFrame, right: DataFrame, *, least: float = 0.40, max_df: int | None = None) -> DataFrame:
+def best_title_match(left: DataFrame, right: DataFrame, *, least: float = 0.40) -> DataFrame:
     """For each left row (id, tokens, doi) the best right row (id, tokens, doi, ord) by token Jaccard, plus 2 for an equal DOI; ties to the first.
 
-    Candidates come from equal tokens or DOIs, never from a cross product.
+    Equal token sets are one title: titles are joined once, then rows. Candidates share a token of a prefix by rarity
+    (a pair of at least `least` must), or a DOI; there is no cross product.
     """
-    lt = left.select(F.col("id").alias("l_id"), F.explode("tokens").alias("t"))
-    rt = right.select(F.col("id").alias("r_id"), F.explode("tokens").alias("t"))
-    pairs = lt.join(rt, "t").select("l_id", "r_id").unionAll(left.where("doi <> ''").select(F.col("id").alias("l_id"), "doi").join(right.where("doi <> ''").select(F.col("id").alias("r_id"), "doi"), "doi").select("l_id", "r_id")).distinct()
-    full = pairs.join(left.select(F.col("id").alias("l_id"), F.col("tokens").alias("lt"), F.col("doi").alias("ld")), "l_id").join(right.select(F.col("id").alias("r_id"), F.col("tokens").alias("rt"), F.col("doi").alias("rd"), "ord"), "r_id")
-    score = jaccard(F.col("lt"), F.col("rt")) + F.when((F.col("ld") != "") & (F.col("ld") == F.col("rd")), 2.0).otherwise(0.0)
-    best = full.withColumn("score", score).where(F.col("score") >= least).groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b"))
+    title = lambda df: df.withColumn("title", F.array_sort(F.array_distinct("tokens")))
+    left, right = title(left), title(right)
+    lt, rt = (x.select("title").where(F.size("title") > 0).distinct() for x in (left, right))
+    rare = lt.unionAll(rt).select(F.explode("title").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
+
+    def prefixes(titles: DataFrame, name: str) -> DataFrame:
+        """The rarest tokens of each title, so many that any partner must have one of them among its own."""
+        each = titles.select("title", F.explode("title").alias("t")).join(rare, "t").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+        own = F.slice("o", 1, (F.size("o") - F.ceil(F.lit(least) * F.size("o")) + 1).cast("int"))
+        return each.select(F.col("title").alias(name), F.explode(own).alias("e")).select(name, "e.t")
+
+    near = prefixes(lt, "lt").join(prefixes(rt, "rt"), "t").select("lt", "rt").distinct()
+    near = near.withColumn("score", jaccard(F.col("lt"), F.col("rt"))).where(F.col("score") >= least)
+    # of the rows of one title without its DOI, only the first can win
+    ahead = right.groupBy(F.col("title").alias("rt")).agg(F.min_by(F.struct("id", "ord"), "ord").alias("r"))
+    by_title = left.select(F.col("id").alias("l_id"), F.col("title").alias("lt")).join(near, "lt").join(ahead, "rt").select("l_id", F.col("r.id").alias("r_id"), F.col("r.ord").alias("ord"), "score")
+    of = lambda df, side: df.where("doi <> ''").select(F.col("id").alias(f"{side}_id"), "doi", F.col("title").alias(f"{side}t"), *(["ord"] if side == "r" else []))
+    by_doi = of(left, "l").join(of(right, "r"), "doi").select("l_id", "r_id", "ord", (jaccard(F.col("lt"), F.col("rt")) + 2.0).alias("score"))
+    best = by_title.unionByName(by_doi).groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b"))
     return best.select("l_id", "b.r_id", "b.score")
 
 

@@ -90,21 +90,11 @@ def j04(spark, sf_dir):
     return out.unionAll(pred.join(gold, "doc_id", "left_anti").select("doc_id", "quality", F.lit(False)))
 
 
-@query("j05_title_match", """WITH p AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS tokens FROM part WHERE p_partkey <= 40), n AS (SELECT n_nationkey AS id, list_distinct(string_split(lower(n_name || ' red widget'), ' ')) AS tokens FROM nation),
+@query("j05_title_match", """WITH p AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS tokens FROM part), n AS (SELECT n_nationkey AS id, list_distinct(string_split(lower(n_name || ' red widget'), ' ')) AS tokens FROM nation),
 s AS (SELECT p.id AS l_id, n.id AS r_id, len(list_intersect(p.tokens, n.tokens))::DOUBLE / len(list_distinct(list_concat(p.tokens, n.tokens))) AS score FROM p, n), r AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS k FROM s WHERE score >= 0.4)
 SELECT l_id, r_id, """ + s6("score") + " AS score FROM r WHERE k = 1")
 def j05(spark, sf_dir):
-    return _title_match(spark, sf_dir, table(spark, sf_dir, "part").where("p_partkey <= 40"))
-
-
-@query("j05_title_match_whole")
-def j05_whole(spark, sf_dir):
-    """All parts; j05_title_match's SQL is for the first 40."""
-    return _title_match(spark, sf_dir, table(spark, sf_dir, "part"))
-
-
-def _title_match(spark, sf_dir, part):
-    p = part.select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("tokens"), F.lit("").alias("doi"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("tokens"), F.lit("").alias("doi"))
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array_distinct(F.split(F.lower(F.concat("n_name", F.lit(" red widget"))), " ")).alias("tokens"), F.lit("").alias("doi"), F.col("n_nationkey").alias("ord"))
     return R.best_title_match(p, n).withColumn("score", r6(F.col("score")))
 

@@ -43,15 +43,8 @@ def p17(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.inline(P.enforce_allowed(changes, ["red widget", "blue gear"]))).drop("variable")
 
 
-@query("p19_all_failed", "SELECT user_id, bool_and(event_type = 'error') AS failed FROM events WHERE event_id % 40 = 0 GROUP BY 1")
+@query("p19_all_failed", "SELECT user_id, bool_and(event_type = 'error') AS failed FROM events GROUP BY 1")
 def p19(spark, sf_dir):
-    s = F.collect_list(F.when(F.col("event_type") == "error", "call_error").otherwise("ok"))
-    return table(spark, sf_dir, "events").where("event_id % 40 = 0").groupBy("user_id").agg(P.all_failed(s).alias("failed"))
-
-
-@query("p19_all_failed_whole", "SELECT user_id, bool_and(event_type = 'error') AS failed FROM events GROUP BY 1")
-def p19_whole(spark, sf_dir):
-    """All events; p19_all_failed's SQL is for every 40th."""
     failed = P.all_failed(F.array(F.when(F.col("event_type") == "error", "call_error").otherwise("ok")))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_and(failed).alias("failed"))
 
@@ -117,24 +110,14 @@ def j10(spark, sf_dir):
     return pointers.merge_reviews(c, c.where("c_custkey % 4 <> 0"), second, ["c_custkey"], ["c_mktsegment"], ["v"])
 
 
-@query("j14_best_page", """WITH w AS (SELECT source, doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:40])) AS t FROM documents WHERE n_chars < 1500), c AS (SELECT source, doc_id, unnest(t[1:10]) AS t FROM w WHERE doc_id % 5 = 0 AND len(t) >= 10),
-s AS (SELECT c.source, c.doc_id AS caption_id, w.doc_id AS page, count(*) / 10 AS score FROM c JOIN w ON c.source = w.source AND list_contains(w.t, c.t) GROUP BY ALL), r AS (SELECT *, row_number() OVER z AS k, coalesce(lead(score) OVER z, 0) AS nxt FROM s WINDOW z AS (PARTITION BY source, caption_id ORDER BY score DESC, page))
+@query("j14_best_page", """WITH w AS (SELECT source, doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS t FROM documents), c AS (SELECT source, doc_id, unnest(t[1:10]) AS t FROM w WHERE len(t) >= 10), p AS (SELECT source, doc_id, unnest(t) AS t FROM w),
+s AS (SELECT c.source, c.doc_id AS caption_id, p.doc_id AS page, count(*) / 10 AS score FROM c JOIN p ON c.source = p.source AND c.t = p.t GROUP BY ALL), r AS (SELECT *, row_number() OVER z AS k, coalesce(lead(score) OVER z, 0) AS nxt FROM s WINDOW z AS (PARTITION BY source, caption_id ORDER BY score DESC, page))
 SELECT source AS doc_id, caption_id, page, """ + s6("score") + " AS score FROM r WHERE k = 1 AND score >= 0.59 AND score - nxt >= 0.05")
 def j14(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), 1, 40)
-    return _best_page(table(spark, sf_dir, "documents").where("n_chars < 1500"), words)
-
-
-@query("j14_best_page_whole")
-def j14_whole(spark, sf_dir):
-    """All documents and all their words; j14_best_page's SQL is for short ones and their first 40 words."""
-    return _best_page(table(spark, sf_dir, "documents"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
-
-
-def _best_page(docs, words):
-    t = F.array_sort(F.array_distinct(words))
-    w = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), t.alias("tokens"))
-    c = w.where((F.col("page") % 5 == 0) & (F.size("tokens") >= 10)).select("doc_id", F.col("page").alias("caption_id"), F.slice("tokens", 1, 10).alias("tokens"))
+    """Each document's first ten words by name are a caption; a document of the same source is the page that has them."""
+    t = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)))
+    w = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), t.alias("tokens"))
+    c = w.where(F.size("tokens") >= 10).select("doc_id", F.col("page").alias("caption_id"), F.slice("tokens", 1, 10).alias("tokens"))
     return pointers.best_page(c, w).withColumn("score", r6(F.col("score")))
 
 

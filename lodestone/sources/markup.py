@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PARTS = "doc_id string, kind string, id string, parent string, title string, text string, row_index int, column_index int, row_span int, column_span int, is_header boolean"
+PARTS = "doc_id string, kind string, id string, parent string, title string, text string, row_index int, column_index int, row_span int, column_span int, is_header boolean, ord int"
 FIELDS = [x.split(" ")[0] for x in PARTS.split(", ")]
 
 
@@ -170,14 +170,14 @@ def html_parts(doc: str, html: str) -> Iterator[tuple]:
 
 
 def parts(docs: DataFrame, id_col: str, text_col: str, form: str = "xml") -> DataFrame:
-    """All parts of all documents as rows of PARTS."""
+    """All parts of all documents as rows of PARTS; ord counts a document's parts as they come."""
     parse = xml_parts if form == "xml" else html_parts
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [r for doc, text in zip(f["doc"], f["text"], strict=True) for r in parse(doc, text or "")]
+            rows = [(*r, k) for doc, text in zip(f["doc"], f["text"], strict=True) for k, r in enumerate(parse(doc, text or ""))]
             out = pd.DataFrame(rows, columns=FIELDS)
-            yield out.astype({c: "Int64" for c in ("row_index", "column_index", "row_span", "column_span")})
+            yield out.astype({c: "Int64" for c in ("row_index", "column_index", "row_span", "column_span", "ord")})
 
     return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, PARTS)
 
@@ -186,5 +186,5 @@ def document_text(found: DataFrame) -> DataFrame:
     """Title, abstract, section titles and paragraphs joined again, in order."""
     rank = F.when(F.col("kind") == "title", 0).when(F.col("kind") == "abstract", 1).otherwise(2)
     text = F.when(F.col("kind") == "section", F.col("title")).otherwise(F.col("text"))
-    own = found.where(F.col("kind").isin("title", "abstract", "section", "paragraph")).select("doc_id", F.struct(rank.alias("r"), F.col("id"), text.alias("t")).alias("s"))
+    own = found.where(F.col("kind").isin("title", "abstract", "section", "paragraph")).select("doc_id", F.struct(rank.alias("r"), "ord", text.alias("t")).alias("s"))
     return own.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("s")).select("doc_id", F.array_join(F.filter(F.transform("s", lambda x: x["t"]), lambda t: t != ""), "\n\n").alias("text"))

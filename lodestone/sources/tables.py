@@ -72,7 +72,11 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return raw.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("stem"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def verified_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest rows (path, sha256) with `ok`: the file is there under a safe path and has its hash."""
-    own = files.select(F.col("path").alias("_p"), F.col("sha256").alias("_h"))
-    return manifest.join(own, F.col("_p").endswith(F.concat(F.lit("/"), F.col("path"))), "left").select(*manifest.columns, (F.coalesce(F.col("_h") == F.col("sha256"), F.lit(False)) & ~F.col("path").rlike(r"(^/|\.\.)")).alias("ok"))
+def verified_files(files: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
+    """Manifest rows (path relative to root, sha256) with `ok`: the file is there under a safe path and has its hash."""
+    plain = lambda x: F.regexp_replace(x, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+|^/+", "/")  # noqa: E731  without scheme and host
+    base = F.concat(F.rtrim(plain(F.lit(root)), F.lit("/")), F.lit("/"))
+    own = files.select(plain(F.col("path")).alias("_p"), F.col("sha256").alias("_h")).where(F.startswith("_p", base))
+    own = own.select(F.substr("_p", F.length(base) + 1).alias("path"), "_h")
+    safe = ~F.col("path").rlike(r"(^/|(^|/)\.\.(/|$))")
+    return manifest.join(own, "path", "left").select(*manifest.columns, (F.coalesce(F.col("_h") == F.col("sha256"), F.lit(False)) & safe).alias("ok"))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def stored(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         path = "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")
     return f"{path}/stream-{uuid.uuid4().hex}"
 
@@ -37,15 +40,22 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 
 def replay(spark: SparkSession, folder: str, schema, transform, mode: str = "complete") -> DataFrame:
-    """Read a folder as a stream until it is used up, and give the result as a table. The checkpoint is the state; each micro-batch commits whole."""
-    at = stored(spark)
-    stream = spark.readStream.schema(schema).parquet(folder)
+    """Read a folder as a stream until it is used up, and give the result as a table.
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+    The checkpoint is the state. A micro-batch is stored whole, under its number: one that is retried replaces itself,
+    and readers of an earlier one are left alone. Of a complete result the last batch counts, else all do.
+    """
+    at, numbers = stored(spark), [-1]
 
-    transform(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        numbers.append(number)
+
+    transform(spark.readStream.schema(schema).parquet(folder)).writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    if max(numbers) < 0:
+        return transform(spark.createDataFrame([], schema))
+    found = spark.read.parquet(f"{at}/out")
+    return (found.where(F.col("batch") == max(numbers)) if mode == "complete" else found).drop("batch")
 
 
 def pending(requests: DataFrame, done: DataFrame, key: str, budget: int) -> DataFrame:

@@ -89,7 +89,7 @@ def test_synthesis(spark):
 
 @pytest.mark.parametrize(
     ("quote", "direction", "want"),
-    [("growth was 2.2 ± 0.4-fold higher", None, 2.2), ("a 3-fold change", 1, 3.0), ("a 4-fold decrease", None, 0.25), ("increased by 30%", None, 1.3), ("reduced 40 %", 1, 0.6), ("in 30% FBS", 1, None), ("nothing", 1, None)],
+    [("growth was 2.2 ± 0.4-fold higher", None, 2.2), ("a 3-fold change", 1, 3.0), ("a 4-fold decrease", None, 0.25), ("increased by 30%", None, 1.3), ("reduced 40 %", 1, 0.6), ("in 30% FBS", 1, None), ("nothing", 1, None), ("treated wells gave 80, control wells gave 40", 1, 2.0), ("80 in treated cells versus 40 in control cells", 1, None), ("treated 80 ng/ml, control 40", 1, None), ("2.0 ± 0.4 SD", 1, None)],
 )
 def test_effect_inference(spark, quote, direction, want):
     e = one(spark, udf.infer_effect(F.lit(quote), F.lit(direction).cast("int"), F.lit("FGF2")))
@@ -101,6 +101,11 @@ def test_group_statistics(spark):
     assert math.isclose(e.effect, math.log(2)) and abs(e.variance - 0.0216667) < 1e-6
 
 
+def test_group_statistics_by_mean(spark):
+    e = one(spark, udf.infer_effect(F.lit("treated cells mean 2.0, SEM 0.2, n=4; control mean 1.0, SD 0.3, n=6"), F.lit(1), F.lit("FGF2")))
+    assert e.source == "treatment_control_mean_sd_n" and math.isclose(e.variance, 0.16 / 16 + 0.09 / 6)
+
+
 def test_ontology(spark):
     lookup = normalize.ontology(spark, [{"canonical": "FGF2", "aliases": ["bFGF"], "category": "gf"}, {"canonical": "Other", "aliases": ["bfgf"]}])
     df = spark.createDataFrame([("bFGF",), ("5 ng/mL bFGF",), ("fgf2",), ("unknown (x)",), ("",), (None,)], "name string")
@@ -183,7 +188,7 @@ def test_tables_and_sinks(spark, tmp_path):
     assert len(r) == 1 and r[0].effect == 0.5 and r[0].quote == ""
     files = tables.read_files(spark, str(tmp_path), "*.json")
     manifest = files.select(F.lit("i.json").alias("path"), "sha256").unionAll(files.select(F.lit("../i.json"), "sha256"))
-    assert [x.ok for x in tables.verified_files(files, manifest).orderBy(F.desc("path")).collect()] == [True, False]
+    assert [x.ok for x in tables.verified_files(files, manifest, str(tmp_path)).orderBy(F.desc("path")).collect()] == [True, False]
 
 
 def test_adjudicated(spark):
