@@ -1,4 +1,4 @@
-"""Command line: `python -m lodestone.cli QUERY SF_DIR [--out PATH]`, `list`, `schema QUERY SF_DIR`."""
+"""Command line: `lodestone list`, `run|schema|explain QUERY TABLES`, and verbs that run several queries: `lodestone evidence TABLES [--out DIR]`."""
 
 from __future__ import annotations
 
@@ -7,6 +7,33 @@ import argparse
 from pyspark.sql import SparkSession
 
 
+#: What a verb reports, as the queries that it runs: C04-C08, C11, C12, C14, C16.
+VERBS = {
+    "stats": ("a02_stats", "a01_component_counts"),
+    "evidence": ("m04_evidence_synthesis", "w05_best_belief", "m05_tiers"),
+    "evidence-audit": ("a05_component_audit", "g06_go_no_go", "a06_critical_open"),
+    "extraction-readiness": ("l06_readiness", "a24_critical_ready"),
+    "adjudication-validate": ("g01_constraint_issues",),
+    "adjudication-status": ("a15_decision_histogram", "a16_status_counts"),
+    "adjudication-export": ("g02_export_valid", "l17_repeated_keys"),
+    "optimize": ("o05_space_filling", "o09_propose_batch"),
+}
+
+
+def report(spark, verb: str, tables: str, out: str | None) -> None:
+    """Run a verb's queries; each is shown, or written as CSV with its name."""
+    from lodestone import catalog
+    from lodestone.sources.sinks import flat
+
+    for name in VERBS[verb]:
+        df = catalog.QUERIES[name](spark, tables)
+        if out:
+            flat(df).write.mode("errorifexists").csv(f"{out}/{name}", header=True, lineSep="\n", emptyValue="", quote='"', escape='"')
+        else:
+            print(name)
+            df.show(10, truncate=80)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodestone")
     sub = parser.add_subparsers(dest="verb", required=True)
@@ -18,6 +45,10 @@ def main(argv: list[str] | None = None) -> int:
         if verb == "run":
             p.add_argument("--out")
             p.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
+    for verb in VERBS:
+        p = sub.add_parser(verb)
+        p.add_argument("tables")
+        p.add_argument("--out")
     args = parser.parse_args(argv)
     from lodestone import catalog
 
@@ -25,6 +56,9 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(sorted(catalog.QUERIES)))
         return 0
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
+    if args.verb in VERBS:
+        report(spark, args.verb, args.tables, args.out)
+        return 0
     df = catalog.QUERIES[args.query](spark, args.tables)
     if args.verb == "schema":
         print(df.schema.json())

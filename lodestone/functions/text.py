@@ -200,6 +200,17 @@ def relative_path(x: Column, base: str) -> Column:
     return F.when(x.startswith(base.rstrip("/") + "/"), F.substring(x, len(base.rstrip("/")) + 2, 1 << 20)).otherwise(x)
 
 
+def lenient(x: Column, *, positive: bool = False) -> Column:
+    """A number if the value reads as one (and is positive), else null."""
+    v = F.trim(x.cast("string")).try_cast("double")
+    return F.when(v > 0, v) if positive else v
+
+
+def iso_utc(t: Column) -> Column:
+    """A time as text in UTC."""
+    return F.date_format(t.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def parse_quantity(x: Column) -> Column:
     """Value, bounds, unit, dimension, normalised value and unit, comparable; the original stays as it was.
 

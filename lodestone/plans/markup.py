@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import udf
 from lodestone.operators import model_calls
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, r6, s6, table
 from lodestone.sources import markup
 
 
@@ -34,13 +34,13 @@ def f08(spark, sf_dir):
     return p.select("p_partkey", udf.title_ratio("p_name", "p_brand").alias("ratio"))
 
 
-@query("e02_effect_inference")
+@query("e02_effect_inference", "SELECT l_orderkey, l_linenumber, " + s6("CASE WHEN l_returnflag = 'A' THEN ln(l_quantity::INTEGER) WHEN l_returnflag = 'N' AND l_quantity::INTEGER < 100 THEN ln(1 - l_quantity::INTEGER / 100) END") + ", NULL::DOUBLE AS variance, CASE WHEN l_returnflag <> 'R' THEN 'explicit_fold_or_percent' END AS source FROM lineitem".replace(", NULL", " AS effect, NULL", 1))
 def e02(spark, sf_dir):
     """E02-E06 over quotes made of order lines."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     q = F.col("l_quantity").cast("int").cast("string")
     quote = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("growth increased "), q, F.lit("-fold"))).when(F.col("l_returnflag") == "N", F.concat(F.lit("viability was reduced by "), q, F.lit("%"))).otherwise(F.concat(q, F.lit("% FBS medium")))
-    return line.select("l_orderkey", "l_linenumber", udf.infer_effect(quote, F.lit(1), F.lit("x")).alias("e")).select("l_orderkey", "l_linenumber", "e.*")
+    return line.select("l_orderkey", "l_linenumber", udf.infer_effect(quote, F.lit(1), F.lit("x")).alias("e")).select("l_orderkey", "l_linenumber", r6(F.col("e.effect")).alias("effect"), "e.variance", "e.source")
 
 
 @query("l05_operator_extraction")

@@ -35,10 +35,10 @@ def read_extractions(df: DataFrame, schema: str, column: str = "json") -> DataFr
     return kept.select(*[c for c in df.columns if c != column], F.from_json(column, schema).alias("doc"))
 
 
-def read_metadata(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """*/metadata.json with its folder's name, malformed files left out."""
-    raw = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/*/metadata.json", multiLine=True)
-    return raw.withColumn("slug", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metadata\.json$", 1)).where("_bad is null").drop("_bad")
+def read_metadata(spark: SparkSession, folder: str, schema: str, name: str = "metadata.json") -> DataFrame:
+    """*/metadata.json (or files of another name) with its folder's name, malformed files left out."""
+    raw = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/*/{name}", multiLine=True)
+    return raw.withColumn("slug", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)).where("_bad is null").drop("_bad")
 
 
 def adjudicated_items(rows: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def test_synthesis(spark):
 
 @pytest.mark.parametrize(
     ("quote", "direction", "want"),
-    [("growth was 2.2 ± 0.4-fold higher", None, 2.2), ("a 3-fold change", 1, 3.0), ("a 4-fold decrease", None, 0.25), ("increased by 30%", None, 1.3), ("reduced 40 %", 1, 0.6), ("in 30% FBS", 1, None), ("nothing", 1, None), ("treated wells gave 80, control wells gave 40", 1, 2.0), ("80 in treated cells versus 40 in control cells", 1, None), ("treated 80 ng/ml, control 40", 1, None), ("2.0 ± 0.4 SD", 1, None)],
+    [("growth was 2.2 ± 0.4-fold higher", None, 2.2), ("a 3-fold change", 1, 3.0), ("a 4-fold decrease", None, 0.25), ("increased by 30%", None, 1.3), ("reduced 40 %", 1, 0.6), ("in 30% FBS", 1, None), ("nothing", 1, None), ("treated wells gave 80 at the end of the study, control wells gave 40", 1, 2.0), ("80 in treated cells versus 40 in control cells", 1, None), ("treated 80 ng/ml, control 40", 1, None), ("2.0 ± 0.4 SD", 1, None)],
 )
 def test_effect_inference(spark, quote, direction, want):
     e = one(spark, udf.infer_effect(F.lit(quote), F.lit(direction).cast("int"), F.lit("FGF2")))
@@ -219,3 +219,24 @@ def test_model_calls(spark):
     done = model_calls.grounded_values(model_calls.call(model_calls.prompts(papers, {"x": "g"}), factory))
     assert {r.id: (r.status, r.value) for r in done.collect()} == {1: ("ok", "A"), 2: ("call_error", None), 3: ("bad_json", None)}
     assert {r.id: r.tier for r in model_calls.triage(papers, factory).collect()} == {1: "A", 2: "unclassified", 3: "unclassified"}
+
+
+def test_verbs_write_their_reports(spark, tmp_path):
+    import os
+
+    from lodestone import catalog, cli
+
+    assert all(q in catalog.QUERIES for names in cli.VERBS.values() for q in names)
+    if os.path.isdir("/root/testdata/sf0.001"):
+        cli.report(spark, "stats", "/root/testdata/sf0.001", str(tmp_path / "r"))
+        assert spark.read.csv(str(tmp_path / "r/a01_component_counts"), header=True).count() > 0
+
+
+def test_page_text_keeps_its_order(spark):
+    page = "<title>T</title><h1>H</h1>" + "".join(f"<p>par{k}</p>" for k in range(1, 13))
+    text = markup.document_text(markup.parts(spark.createDataFrame([(1, page)], "id long, h string"), "id", "h", "html")).first().text
+    assert text.split("\n\n") == ["T", "H", *(f"par{k}" for k in range(1, 13))]
+
+
+def test_slugs(spark):
+    assert [bibtex.slugify(x) for x in ("", "Étude: one_two  three", "--a--", None, "don't")] == ["untitled", "etude-one-two-three", "a", "untitled", "dont"]
