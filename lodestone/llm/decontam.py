@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.llm.common import mapped, texts
+from lodestone.llm.common import mapped, texts, written
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE = 13, 1 << 19, 1 << 20, 8
 #: Words are runs of 0-9, a-z (A-Z lower-cased) and all that is not ASCII.
@@ -148,26 +148,70 @@ class Phrases:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The columns of `keep` and the struct `hits` of every document: n_words, n_hit, items (sorted ids) and spans (code points to remove, merged).
+    """The columns of `keep` and the struct `hits` of every document: n_words, n_hit, items (sorted ids), spans (code points to remove, merged) and the same as words.
 
     A column called hits isn't kept. Null and empty texts have no words; texts of any length are taken whole. Repeated
     rows come out alike, items with the same phrase are both found, and empty tables give no rows or no hits.
     """
-    spark, keep = docs.sparkSession, tuple(c for c in keep if c != "hits")
-    blocks, size = [[]], 0
+    keep = tuple(c for c in keep if c != "hits")
+    blocks = _blocks(benchmark, item_col)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        return _found(docs, block, window, keep, text_col)
+    # further blocks: one pass each, its hits stored by their text's hash; the driver and the workers hold one block at a time
+    hashes = [F.xxhash64(F.col(f"`{text_col}`")).alias("h1"), F.xxhash64(F.lit(1), F.col(f"`{text_col}`")).alias("h2")]
+    keyed, hits = docs.select(F.col(f"`{text_col}`"), *hashes), None
+    while block is not None:
+        own = _found(keyed, block, window, ("h1", "h2"), text_col).where("hits.n_hit > 0").dropDuplicates(["h1", "h2"])
+        own = written(own, "hits")
+        hits = own if hits is None else hits.unionAll(own)
+        block, after = after, next(blocks, None)
+    both = hits.groupBy("h1", "h2").agg(F.collect_list("hits").alias("l"))  # at most one a block
+    flat = lambda name: F.flatten(F.transform("l", lambda x: x[name]))
+    edges = F.array_sort(F.arrays_zip(flat("words").alias("w"), flat("spans").alias("s")))
+    both = both.select("h1", "h2", F.array_sort(F.array_distinct(flat("items"))).alias("items"), _merged(edges).alias("m"))
+    none, words = _found(docs.withColumn("_h1", hashes[0]).withColumn("_h2", hashes[1]), [], window, (*keep, "_h1", "_h2"), text_col), F.transform("m", lambda x: x["w"])
+    out = none.join(both, (F.col("_h1") == both["h1"]) & (F.col("_h2") == both["h2"]), "left")
+    n = F.coalesce(F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]), F.lit(0).cast("long"))
+    merged = F.struct(F.col("hits.n_words").alias("n_words"), n.alias("n_hit"), F.coalesce("items", F.col("hits.items")).alias("items"), F.coalesce(F.transform("m", lambda x: x["s"]), F.col("hits.spans")).alias("spans"), F.coalesce(words, F.col("hits.words")).alias("words"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], merged.alias("hits"))
+
+
+def _blocks(benchmark: DataFrame, item_col: str) -> Iterator[list[tuple]]:
+    """The items in blocks of at most BLOCK_WORDS words (or one item), one held at a time."""
+    block, size = [], 0
     for row in benchmark.select(item_col, F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
         text = row[1].encode()
         n = len(words_of(text))
-        if size and size + n > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], text))
+        if block and size + n > BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+        block.append((row[0], text))
         size += n
-    held = [spark.sparkContext.broadcast(Phrases(block, window)) for block in blocks]
+    if block:
+        yield block
+
+
+def _merged(edges):
+    """Sorted (w, s) pairs of word and character spans, those that overlap or touch in words made one."""
+
+    def add(acc, x):
+        last = F.element_at(acc, -1)
+        joined = F.struct(F.struct(last["w"]["start"].alias("start"), F.greatest(last["w"]["end"], x["w"]["end"]).alias("end")).alias("w"), F.struct(last["s"]["start"].alias("start"), F.greatest(last["s"]["end"], x["s"]["end"]).alias("end")).alias("s"))
+        same = (F.size(acc) > 0) & (x["w"]["start"] <= F.get(acc, F.size(acc) - 1)["w"]["end"])
+        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+
+    span = "struct<start:bigint,end:bigint>"
+    return F.aggregate(edges, F.array().cast(f"array<struct<w:{span},s:{span}>>"), add)
+
+
+def _found(docs: DataFrame, block: list[tuple], window: int, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """find() for one block of items."""
+    held = [docs.sparkSession.sparkContext.broadcast(Phrases(block, window))]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    fields = [pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()), pa.field("items", pa.list_(pa.int64())), pa.field("spans", pa.list_(span))]
+    fields = [pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()), pa.field("items", pa.list_(pa.int64())), pa.field("spans", pa.list_(span)), pa.field("words", pa.list_(span))]
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL("hits struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<start:bigint,end:bigint>>>").fields])
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("hits struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<start:bigint,end:bigint>>,words:array<struct<start:bigint,end:bigint>>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, data, words = [], [], []
@@ -191,15 +235,17 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, keep: t
             hit = np.cumsum(mark[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[first[1:]] - total[first[:-1]]
-            spans = []
+            spans, stretches = [], []
             for k in range(len(words)):
-                own = []
+                own, stretch = [], []
                 if n_hit[k]:
                     at = [m.span() for m in WORD.finditer(data[k].decode("utf-8", "replace"))]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[k] : first[k] + sizes[k]].astype(np.int8), [0]])))
                     own = [{"start": at[b][0], "end": at[e - 1][1]} for b, e in zip(edge[::2], edge[1::2], strict=True)]
+                    stretch = [{"start": b, "end": e} for b, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
                 spans.append(own)
-            hits = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((sizes, n_hit.astype(np.int64), [sorted(x) for x in items], spans), fields, strict=True)], fields=fields)
+                stretches.append(stretch)
+            hits = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((sizes, n_hit.astype(np.int64), [sorted(x) for x in items], spans, stretches), fields, strict=True)], fields=fields)
             kept = [pa.concat_arrays(c) for c in zip(*names, strict=True)]
             return pa.RecordBatch.from_arrays([*kept, hits], names=[*keep, "hits"])
 

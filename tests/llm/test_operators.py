@@ -393,7 +393,7 @@ def test_pii_surrogates(spark):
         assert old not in new
     s = [e.surrogate for e in got[1].entities]
     assert s[0].split(" ")[2] == s[1].split(" ")[2] == s[2].split(" ")[1]  # one family
-    assert s[0].split(" ")[1] in pii.NAMES["m", "latin"].split() and s[1].split(" ")[1] in pii.NAMES["f", "latin"].split()
+    assert s[0].split(" ")[1].endswith(tuple(pii.END["m", "latin"])) and s[1].split(" ")[1].endswith(tuple(pii.END["f", "latin"]))
     assert s[4] == s[5] != s[6]
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", s[7]) and re.fullmatch(r"10(\.\d{1,3}){3}", s[8])
     assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", s[9]) and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", s[10])
@@ -402,7 +402,7 @@ def test_pii_surrogates(spark):
     names = got[5].text.split(" ")
     assert re.fullmatch(r"[\u0400-\u04ff]+", names[1]) and names[1:3] == [x.strip(".") for x in names[-2:]]
     people = [e.surrogate for e in got[6].entities]
-    assert len(set(people)) == 60
+    assert len(set(people)) == 60 and all(re.fullmatch(r"Mr\. [A-Z][a-z]+", x) for x in people)
     assert len({r.text for r in out if r.doc_id == 1}) == 1
 
 
@@ -425,3 +425,69 @@ def test_lookup_keeps_bounds():
         assert table.counts([x.encode() for x in data]) == list(map(len, want))
         assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in table.ids([x.encode() for x in data])] == want
         assert table.n <= 400 and len(table.pool) <= 8000
+
+
+def brute_surrogates(text: str, key: str) -> str:
+    """Emails, addresses, numbers and titled names, with the names' later mentions, one candidate after the other."""
+    import hmac
+
+    def candidate(kind, value, b):
+        h = hmac.new(key.encode(), f"{kind}\x1f{value}\x1f{b}".encode(), "sha256").hexdigest()
+        number = lambda at: int(h[at - 1 : at + 6], 16)
+        digits, letters = h.translate(str.maketrans("abcdef", "271828")), h.translate(str.maketrans("0123456789", "ghijklmnop"))
+        if kind == "email":
+            return f"{letters[: max(8, min(24, value.index('@')))]}@mail{digits[49:51]}.example.org"
+        if kind == "ip":
+            return ".".join(["10", *(str(number(k) % 256) for k in (1, 8, 15))])
+        if kind == "ssn":
+            return digits[: len(value)]
+        role, script = kind.split("-")
+        pick = lambda at, words: words[number(at) % len(words)]
+        extra = "" if number(50) % 2 == 0 else pick(43, pii.MIDDLE[script])
+        return pick(1, pii.BEGIN[script]) + pick(8, pii.MIDDLE[script]) + extra + pick(22, pii.END[role, script])
+
+    titles = {"Mr": "m", "Mrs": "f", "Dr": "n"}
+    name = r"(Mrs|Mr|Dr)\. ([A-ZА-Я][a-zа-я]+)(?: ([A-ZА-Я][a-zа-я]+))?"
+    pattern = rf"(?P<email>[\w.]+@[\w.-]+\.\w+)|(?P<ip>\d+\.\d+\.\d+\.\d+)|(?P<ssn>\d{{3}}-\d\d-\d{{4}})|(?P<person>{name})"
+    script = lambda w: "cyrillic" if re.search("[А-я]", w) else "latin"
+
+    def units(m):
+        if m["person"]:
+            words = [x for x in re.fullmatch(name, m["person"]).groups()[1:] if x]
+            role = titles[m["person"].split(".")[0]]
+            return [(f"{role if k < len(words) - 1 else 'last'}-{script(w)}", w) for k, w in enumerate(words)]
+        kind = m.lastgroup if m.lastgroup in ("email", "ip", "ssn") else next(k for k in ("email", "ip", "ssn") if m[k])
+        return [(kind, m[0].lower() if kind == "email" else m[0].replace("-", "") if kind == "ssn" else m[0])]
+
+    every = sorted({u for m in re.finditer(pattern, text) for u in units(m)})
+    taken, held = {v for _, v in every}, {}
+    for u in every:
+        held[u] = next(s for b in range(pii.TRIES + 1) if (s := candidate(*u, b)) not in taken)
+        taken.add(held[u])
+    words = sorted({v for k, v in every if "-" in k})
+    alone = {w: held[next(u for u in every if u[1] == w)] for w in words}
+    if words:
+        pattern += "|(?P<bare>(?<![A-Za-zА-я])(?:" + "|".join(words) + ")(?: (?:" + "|".join(words) + "))?(?![A-Za-zА-я]))"
+
+    def new(m):
+        if words and m["bare"]:
+            return " ".join(alone[w] for w in m["bare"].split(" "))
+        own = [held[u] for u in units(m)]
+        if m["person"]:
+            return m["person"].split(" ")[0] + " " + " ".join(own)
+        return f"{own[0][:3]}-{own[0][3:5]}-{own[0][5:]}" if m["ssn"] else own[0]
+
+    return re.sub(pattern, new, text)
+
+
+def test_pii_against_brute_force(spark):
+    texts = [
+        "Mr. John Smith met Mrs. Anna Smith. John Smith and Smith left; Smithson stayed. Anna wrote to a.b@x.com.",
+        "Dr. Иван Петров, 123-45-6789, saw Mr. Lee at 8.8.8.8 and 8.8.4.4. Петров said Lee knew Иван.",
+        "no one here", "Mr. Rose likes rose and Rose.", " ".join(f"Mr. Na{chr(97 + k % 26)}{chr(97 + k // 26)} Kim" for k in range(200)),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for key in ("key", "k" * 99):
+        got = {r.doc_id: r.text for r in pii.replace(df, key).collect()}
+        assert got == {k: brute_surrogates(t, key) for k, t in enumerate(texts)}
+    assert pii.replace(df.limit(0), "key").collect() == []
