@@ -19,7 +19,7 @@ the smallest set that it reaches there.
 
 Null texts, and texts without words, have no shingles and link with nothing. Ids are integers; a row with a null id is
 measured and takes no part (null class and component). Repeated rows give repeated rows; rows of one id are taken to
-have one text. Texts of any length are taken whole. An empty table gives no rows. Shingles are compared by 56-bit
+have one text. Texts of any length are taken whole. An empty table gives no rows. Shingles are compared by 64-bit
 hashes, whole sets by 128 bits.
 """
 
@@ -39,8 +39,8 @@ from lodestone.llm.components import components
 WORDS, PERCENT = 5, 75
 #: Min-hashes of a set, and how many a set shares with its hub at least.
 MINS, SHARED = 12, 4
-#: Bits of a key, and of them those by which it is counted; keys of a chunk and of a shard.
-KEY_BITS, COUNTED_BITS, FLUSH, SHARD_KEYS = 56, 48, 1 << 19, 1 << 21
+#: Bits of a key; keys of a chunk and of a shard.
+KEY_BITS, FLUSH, SHARD_KEYS = 48, 1 << 19, 1 << 21
 #: Sets of a block when families meet; entries of a list's block; length from which a list is dealt out, in parts of DEAL.
 BLOCK, STEP, LONG, DEAL = 512, 64, 8192, 2048
 WHITE = [bytes([c]) for c in (32, *range(9, 14))]
@@ -147,13 +147,13 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _requests(shards: int):
-    edges = np.array([-(-(s << COUNTED_BITS) // shards) for s in range(shards)], np.uint64)
+    edges = np.array([-(-(s << KEY_BITS) // shards) for s in range(shards)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 gaps, times = unbundle(held.as_py())[:2]
-                keys = np.cumsum(gaps, dtype=np.uint64) >> np.uint64(KEY_BITS - COUNTED_BITS)
+                keys = np.cumsum(gaps, dtype=np.uint64)
                 ends = np.append(np.searchsorted(keys, edges), len(keys))
                 rows = [(chunk, s, bundle(np.diff(keys[lo:hi], prepend=keys[lo : lo + 1]), keys[lo : lo + 1], times[lo:hi])) for s, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if hi > lo]
                 yield table_batch(PACKET, list(zip(*rows, strict=True)))
@@ -172,21 +172,19 @@ def _answers(key: tuple, table: pa.Table) -> pa.Table:
 
 
 ENTRY = pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("f", pa.int64())])
-ENTRIES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("entries", pa.list_(ENTRY)), ("mins", pa.list_(pa.int64())), ("held", pa.binary())])
-ENTRIES_DDL = "id long, n long, sig long, sig2 long, entries array<struct<key:bigint,pos:bigint,f:bigint>>, mins array<bigint>, held binary"
+ENTRIES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("entries", pa.list_(ENTRY))])
 
 
 def _entries(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Of a chunk and its answers: each set's prefix, as far as its keys occur more than once, its min-hashes and its keys; equal sets of a chunk are taken once."""
+        """Of a chunk and its answers: each set's prefix, as far as its keys occur more than once; equal sets of a chunk are taken once."""
         rows = [x for _, x in sorted(zip(table.column("shard").to_pylist(), table.column("held").to_pylist(), strict=True), key=lambda r: r[0])]
         gaps, times, owner, ids, n, sig, sig2 = unbundle(rows[0])
         f = np.repeat(np.concatenate([unbundle(x)[0] for x in rows[1:]]), times)
         lead = np.zeros(len(ids), np.bool_)
         lead[np.unique(np.ascontiguousarray(np.stack([sig, sig2], axis=1)).view("V16").ravel(), return_index=True)[1]] = True
         at = np.flatnonzero((f > 1) & lead[owner])
-        all_keys, all_owners = np.repeat(np.cumsum(gaps, dtype=np.uint64), times), owner
-        keys, f, owner = all_keys[at], f[at], owner[at].astype(np.int64)
+        keys, f, owner = np.repeat(np.cumsum(gaps, dtype=np.uint64), times)[at], f[at], owner[at].astype(np.int64)
         order = np.lexsort((keys, f, owner))
         keys, f, owner = keys[order].view(np.int64), f[order], owner[order]
         many = np.bincount(owner, minlength=len(ids))
@@ -196,17 +194,20 @@ def _entries(percent: int):
         own, first = np.unique(owner, return_index=True)
         flat = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (keys, pos, f)], fields=list(ENTRY))
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)), pa.int32()), flat)
-        chosen = np.zeros(len(ids), np.bool_)
-        chosen[own] = True
-        at = np.flatnonzero(chosen[all_owners])
-        at = at[np.argsort(all_owners[at], kind="stable")]
-        sets = [np.unique(x) for x in np.split(all_keys[at], np.cumsum(np.bincount(all_owners[at], minlength=len(ids))[own])[:-1])] if len(own) else []
-        mins = [[int((x * m).min().view(np.int64)) for m in _MULTIPLIERS] for x in sets]
-        return pa.table([*(pa.array(x[own], pa.int64()) for x in (ids, n, sig, sig2)), lists.cast(ENTRIES.field("entries").type), pa.array(mins, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], schema=ENTRIES)
+        return pa.table([*(pa.array(x[own], pa.int64()) for x in (ids, n, sig, sig2)), lists.cast(ENTRIES.field("entries").type)], schema=ENTRIES)
 
     return run
 
 
+SETS = pa.schema([("id", pa.int64()), ("mins", pa.list_(pa.int64())), ("held", pa.binary())])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = shingles(texts(batch, 1))
+        yield table_batch(SETS, [batch.column(0), [[int((x * m).min().view(np.int64)) for m in _MULTIPLIERS] if len(x) else None for x in sets], [x.tobytes() for x in sets]])
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Of two sorted sets."""
     if len(x) > len(y):
@@ -407,14 +408,14 @@ def join(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", tex
     chunks = profiles.where("chunk is not null").select("chunk", "held")
     answers = written(mapped(chunks, _requests(shards), PACKET_DDL, rows=1).groupBy("shard").applyInArrow(_answers, PACKET_DDL), "frequencies")
     asked = chunks.select("chunk", F.lit(-1).cast("long").alias("shard"), "held").unionAll(answers.select("chunk", "shard", "held"))
-    entries = asked.groupBy("chunk").applyInArrow(_entries(percent), ENTRIES_DDL)
+    entries = asked.groupBy("chunk").applyInArrow(_entries(percent), "id long, n long, sig long, sig2 long, entries array<struct<key:bigint,pos:bigint,f:bigint>>")
     entries = entries.join(reps.select(*same, F.col("rep").alias("id"), "k"), [*same, "id"])
-    entries = entries.select("id", "n", F.expr("filter(entries, e -> e.f > k)").alias("entries"), "mins", "held").where("size(entries) > 0")
+    entries = entries.select("id", "n", F.expr("filter(entries, e -> e.f > k)").alias("entries")).where("size(entries) > 0")
     index = written(entries.dropDuplicates(["id"]), "index")
-    sets = index.select("id", "mins", "held")
     free(profiles, answers)
 
-    # families of the sets that have entries
+    # the sets that have entries, and their families
+    sets = written(mapped(docs.join(index.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", "text"), _sets, "id long, mins array<bigint>, held binary"), "sets")
     mins = sets.select("id", F.posexplode("mins").alias("i", "m"))
     hubs = mins.groupBy("i", "m").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("i", "m", "hub")
     stars = written(mins.join(hubs, ["i", "m"]).groupBy("id", "hub").agg(F.count("*").alias("c")).where(f"c >= {SHARED}").select("id", "hub"), "stars")
@@ -452,7 +453,7 @@ def join(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", tex
     comps = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = reps.select(*same, "rep").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").join(counts, "rep", "left")
     classes = written(classes.select(*same, "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    free(index, homes, meets, found, derived, reps)
+    free(index, sets, homes, meets, found, derived, reps)
     out = rows.join(classes, same, "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), own("rep").alias("class_id"), own("comp").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
