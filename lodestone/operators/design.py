@@ -172,17 +172,23 @@ def score_pool(pool: DataFrame, x_col: str, model: GaussianProcess, best: float)
     return pool.mapInPandas(run, schema)
 
 
-def propose(observed: tuple[np.ndarray, np.ndarray], pool: DataFrame, x_col: str, id_col: str, batch: int, *, seed: int = 0) -> list:
-    """A batch of distinct candidates, each the best expected improvement of a random scalarisation (few slots, one job each)."""
+def propose(observed: tuple[np.ndarray, np.ndarray], pool: DataFrame, x_col: str, id_col: str, batch: int, *, seed: int = 0, prior: str | None = None, weight: float = 0.0) -> list:
+    """A batch of distinct candidates, each the best expected improvement of a random scalarisation (few slots, one job each).
+
+    A log prior column multiplies the improvement by exp(weight * (prior - its maximum)).
+    """
     x, y = observed
     span = np.where(np.ptp(y, axis=0) == 0, 1.0, np.ptp(y, axis=0))
     normal, rng, taken = (y - y.min(axis=0)) / span, np.random.default_rng(seed), []
+    gain = F.col("ei")
+    if prior and weight > 0:
+        gain = gain * F.exp(weight * (F.col(prior) - F.lit(pool.agg(F.max(prior)).first()[0])))
     for _ in range(batch):
         w = rng.dirichlet(np.ones(y.shape[1]))
         scalar = (normal * w).max(axis=1) + RHO * (normal * w).sum(axis=1)
         model = GaussianProcess().fit(x, scalar)
         left = pool if not taken else pool.where(~F.col(id_col).isin(*taken))
-        top = score_pool(left, x_col, model, float(scalar.min())).orderBy(F.desc("ei"), id_col).select(id_col).first()
+        top = score_pool(left, x_col, model, float(scalar.min())).orderBy(gain.desc(), id_col).select(id_col).first()
         if top is None:
             break
         taken.append(top[0])
