@@ -7,8 +7,14 @@ import argparse
 from pyspark.sql import SparkSession
 
 
-#: What a verb reports, as the queries that it runs: C04-C08, C11, C12, C14, C16.
+#: What a verb reports, as the queries that it runs: C03-C16.
 VERBS = {
+    "extract": ("l04_block_extraction", "l05_operator_extraction", "x09_evidence_rows"),
+    "export": ("k05_csv_round_trip", "k08_jsonl_round_trip"),
+    "review-packet": ("l13_review_packet",),
+    "adjudication-template": ("g04_gold_review", "l13_review_packet"),
+    "adjudication-passages": ("g03_passage_previews",),
+    "design": ("r05_query_text", "r01_bm25_top", "l07_verified_changes"),
     "stats": ("a02_stats", "a01_component_counts"),
     "evidence": ("m04_evidence_synthesis", "w05_best_belief", "m05_tiers"),
     "evidence-audit": ("a05_component_audit", "g06_go_no_go", "a06_critical_open"),
@@ -16,7 +22,7 @@ VERBS = {
     "adjudication-validate": ("g01_constraint_issues",),
     "adjudication-status": ("a15_decision_histogram", "a16_status_counts"),
     "adjudication-export": ("g02_export_valid", "l17_repeated_keys"),
-    "optimize": ("o05_space_filling", "o09_propose_batch"),
+    "optimize": ("o05_space_filling", "o09_propose_batch", "o10_ask"),
 }
 
 
@@ -38,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodestone")
     sub = parser.add_subparsers(dest="verb", required=True)
     sub.add_parser("list")
+    sub.add_parser("smoke").add_argument("tables")
     for verb in ("run", "schema", "explain"):
         p = sub.add_parser(verb)
         p.add_argument("query")
@@ -56,6 +63,10 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(sorted(catalog.QUERIES)))
         return 0
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
+    if args.verb == "smoke":  # C18: every verb once, end to end, with the mock client
+        for verb, names in VERBS.items():
+            print(verb, *[f"{name}={catalog.QUERIES[name](spark, args.tables).count()}" for name in names])
+        return 0
     if args.verb in VERBS:
         report(spark, args.verb, args.tables, args.out)
         return 0

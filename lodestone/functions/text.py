@@ -272,14 +272,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def json_from_prose(x: Column) -> Column:
-    """The JSON text in prose: a fence, the whole, or from the first brace or bracket to the last; null if none parses."""
-    tries = [
-        F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1),
-        x,
-        F.regexp_extract(x, r"(?s)(\{.*\})", 1),
-        F.regexp_extract(x, r"(?s)(\[.*\])", 1),
-    ]
-    return F.coalesce(*[F.when(F.try_parse_json(F.nullif(F.trim(t), F.lit(""))).isNotNull(), F.trim(t)) for t in tries])
+    """The JSON text in prose: the first fence that parses, the whole, from the first brace to the last, or bracket; null if none parses."""
+
+    def text(t: Column) -> Column:
+        """A candidate that is one JSON value and nothing after it: as the element of a list it must stand alone."""
+        own = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        return F.when(F.try_variant_get(own, "$[0]", "variant").isNotNull() & F.try_variant_get(own, "$[1]", "variant").isNull(), F.trim(t, F.lit(" \t\r\n")))
+
+    fences = F.transform(F.regexp_extract_all(x, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), text)
+    rest = [x, F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.regexp_extract(x, r"(?s)(\[.*\])", 1)]
+    return F.coalesce(F.get(F.array_compact(fences), F.lit(0)), *map(text, rest))
 
 
 def erf(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import catalog, cli
+from lodestone.functions.text import json_from_prose
 from lodestone.operators import workflow as W
 
 SEEN = "x array<double>, objectives array<double>"
@@ -68,3 +70,21 @@ def test_a_repeated_verdict_is_none(spark):
     answers = batches.selectExpr("*", """'[{"number": 0, "relevant": true}, {"number": 1, "relevant": true}, {"number": 1, "relevant": false}, {"number": 11, "relevant": true}]' as answer""")
     got = {r.number: r.relevant for r in W.screened(answers).collect()}
     assert got == {k: {0: True, 11: True}.get(k) for k in range(12)}
+
+
+def test_json_in_prose_is_one_value(spark):
+    cases = {
+        'Here: [{"a": 1}, {"a": 2}] done': '[{"a": 1}, {"a": 2}]',
+        '```json\nnope\n``` then ```\n{"b": 1}\n```': '{"b": 1}',
+        ' {"c": {"d": []}} ': '{"c": {"d": []}}',
+        'so {"e": 1} it is': '{"e": 1}',
+        '{"f": 1} {"g": 2}': None,
+        "no json": None,
+        "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", json_from_prose(F.col("t")).alias("j"))
+    assert {r.t: r.j for r in rows.collect()} == cases | {None: None}
+
+
+def test_verbs_run_registered_queries():
+    assert {name for names in cli.VERBS.values() for name in names} <= set(catalog.QUERIES)
