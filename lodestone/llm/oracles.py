@@ -65,3 +65,13 @@ sub AS (SELECT n, i, g, min(first) AS lead FROM v GROUP BY ALL), full_ AS (SELEC
 near AS (SELECT v.first FROM v JOIN sub USING (n, i, g) WHERE lead < v.first UNION SELECT v.first FROM v JOIN full_ f ON v.g = f.g AND f.n = v.n - 1 WHERE f.first < v.first UNION SELECT f.first FROM v JOIN full_ f ON v.g = f.g AND f.n = v.n - 1 WHERE v.first < f.first),
 m AS (SELECT w.*, c.first IS NOT NULL AND ((doc_id, k) > c.first OR c.first IN (SELECT first FROM near)) AS gone FROM w LEFT JOIN c ON w.w = c.w AND len(w.w) >= 5)
 SELECT doc_id, count(*) FILTER (gone) AS n_dropped, length(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), ''))::BIGINT AS n_left_chars, sha256(coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256 FROM m GROUP BY 1"""
+
+_LETTERS = "ABCDE"
+OP12 = rf"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS.format("text")} AS w FROM documents), firsts AS (SELECT t, min(doc_id) AS first FROM t GROUP BY 1),
+flags AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t.t, '[^A-Z]', '', 'g')) > 3 * length(t.t), regexp_matches(t.t, '[#$%&*|]'), t.doc_id > first] AS f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM t JOIN firsts ON t.t = firsts.t LEFT JOIN flags ON flags.doc_id = t.doc_id),
+l AS (SELECT unnest(range(1, 6)) AS k), orders AS (SELECT [a.k, b.k, c.k, e.k, g.k] AS o FROM l a, l b, l c, l e, l g WHERE len(list_distinct([a.k, b.k, c.k, e.k, g.k])) = 5), s AS (SELECT o, k AS step, o[1:k - 1] AS before, o[k] AS own FROM orders, l),
+m AS (SELECT part, f, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT part, array_to_string([('{_LETTERS}')[k] FOR k IN o], '') AS filter_order, step, own, n, good, toxic, f[own] AS fails, len([k FOR k IN before IF f[k]]) = 0 AS met, len([v FOR v IN f IF v]) = 1 AS single FROM m, s),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN met AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN met AND fails THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND NOT met THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails AND single THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN met AND fails AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN met AND fails AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, jaccard, linededup, lm, oracles, packing, pii, quality, secrets, tokens, urls
+from lodestone.llm import decontam, filters, jaccard, linededup, lm, oracles, packing, pii, quality, secrets, sentencepieces, tokens, urls, variants
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -78,3 +78,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("n_dropped_lines").alias("n_dropped"), F.length("text").cast("long").alias("n_left_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op11_sentencepieces")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepieces.digest(sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
+@query("op12_filter_audit", oracles.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
