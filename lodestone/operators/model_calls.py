@@ -35,6 +35,18 @@ class MockClient:
         return self.handler(prompt)
 
 
+class MeteredClient:
+    """A handler's answers with what they used: handler(prompt) gives (answer, {"prompt_tokens": n, "completion_tokens": n})."""
+
+    def __init__(self, handler: Callable[[str], tuple[str, dict]]):
+        self.handler, self.usage = handler, {}
+
+    def complete(self, prompt: str) -> str:
+        self.usage = {}
+        answer, self.usage = self.handler(prompt)
+        return answer
+
+
 def complete(client, prompt: str, tries: int = 4, pause: float = 0.0) -> tuple[str | None, str]:
     """(answer, status) after retries with doubling pauses."""
     for k in range(tries):
