@@ -42,29 +42,70 @@ def pareto_2d(df: DataFrame, x: str, y: str, buckets: int = 64) -> DataFrame:
     return left.join(firsts, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi").drop("_p")
 
 
-def pareto(df: DataFrame, objectives: list[str]) -> DataFrame:
-    """O01 for any number of objectives: partitions give their own fronts first, then fronts are compared.
+def _undominated(y: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+    """Which rows of y no row of `by` (y itself by default) dominates."""
+    keep = np.ones(len(y), bool)
+    own = y if by is None else by
+    for k, i in enumerate(np.argsort(own.sum(axis=1), kind="stable")):
+        if by is not None or keep[i]:
+            keep &= ~((own[i] <= y).all(axis=1) & (own[i] < y).any(axis=1))
+        if by is not None and k % 64 == 63 and not keep.any():
+            break
+    return keep
 
-    A row that its partition's front dominates is dominated overall, so only fronts meet; those are small beside their input.
-    """
-    schema = df.schema
 
-    def front(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows[objectives].to_numpy(float)
-        keep = np.ones(len(y), bool)
-        for i in np.argsort(y.sum(axis=1), kind="stable"):
-            if keep[i]:
-                keep &= ~((y[i] <= y).all(axis=1) & (y[i] < y).any(axis=1))
-        return rows[keep]
+def pareto(df: DataFrame, objectives: list[str], block: int = 20_000) -> DataFrame:
+    """O01 for any number of objectives, on doubles: rows that no row dominates; equal rows all stay, rows with a null don't count.
+
+    Partitions give their own fronts first, and those are merged by eights as long as that shrinks them. If more than
+    `block` different points are left, they are dealt into blocks, and each block meets each other one in a task of its
+    own: no task holds more than two blocks, however large the front is.
+    """
+    own = df.dropna(subset=objectives)
+    points = own.select(*[F.col(c).cast("double").alias(f"o{k}") for k, c in enumerate(objectives)])
+    schema, names = points.schema, points.columns
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for f in frames:
-            held = front(f if held is None else pd.concat([held, f]))
+            f = (f if held is None else pd.concat([held, f])).drop_duplicates()
+            held = f[_undominated(f[names].to_numpy(float))]
         if held is not None:
             yield held
 
-    return df.mapInPandas(local, schema).coalesce(1).mapInPandas(local, schema)
+    front = points.mapInPandas(local, schema)
+    held = front.persist()
+    n, parts = held.count(), held.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // 8)
+        if n > block * parts:
+            break
+        merged = held.coalesce(parts).mapInPandas(local, schema).persist()
+        before, n = n, merged.count()
+        held.unpersist()
+        held = merged
+        if n > 0.9 * before and n > block:
+            break
+    if parts > 1 or n > block:
+        held = _between_blocks(held, names, -(-n // block))
+    keys = [F.col(c).cast("double") == held[f"o{k}"] for k, c in enumerate(objectives)]
+    met = keys[0]
+    for k in keys[1:]:
+        met = met & k
+    return own.join(held, met, "left_semi")
+
+
+def _between_blocks(points: DataFrame, names: list[str], blocks: int) -> DataFrame:
+    """The points that none of any block dominates."""
+    each = points.distinct().withColumn("i", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = each.withColumn("j", other), each.withColumnRenamed("i", "j").withColumn("i", other)
+
+    def beaten(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return a[~_undominated(a[names].to_numpy(float), b[names].to_numpy(float))][names] if len(a) and len(b) else a[names][:0]
+
+    gone = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(beaten, points.schema).distinct()
+    return each.drop("i").join(gone, names, "left_anti")
 
 
 def hypervolume_2d(front: DataFrame, x: str, y: str, ref: tuple[float, float]) -> DataFrame:
@@ -74,17 +115,55 @@ def hypervolume_2d(front: DataFrame, x: str, y: str, ref: tuple[float, float]) -
     return inside.select(((nxt - F.col("x")) * (ref[1] - F.col("y"))).alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("hypervolume"))
 
 
-def hypervolume_mc(front: np.ndarray, ref: np.ndarray, samples: int = 200_000, seed: int = 0) -> float:
-    """O02 for three or more objectives: Monte Carlo with a seeded generator."""
-    own = front[(front < ref).all(axis=1)]
-    if not len(own):
-        return 0.0
-    low = own.min(axis=0)
-    points = np.random.default_rng(seed).random((samples, len(ref))) * (ref - low) + low
-    hit = np.zeros(samples, bool)
-    for p in own:
-        hit |= (points >= p).all(axis=1)
-    return float(hit.mean() * np.prod(ref - low))
+#: Samples of one bitmap row (Spark's bitmaps have 32,768 bits).
+SAMPLES_PER_ROW = 32_768
+
+
+def sample_steps(dims: int, seed: int) -> list[tuple[float, float]]:
+    """(start, step) of each dimension of an additive recurrence: point i is the fraction of start + (i + 1) * step.
+
+    The steps are powers of the inverse of the root of x^(d+1) = x + 1, which spreads points evenly in d dimensions.
+    """
+    root = 2.0
+    for _ in range(64):
+        root = (1 + root) ** (1 / (dims + 1))
+    return [((seed * 0.6180339887498949 + 0.5) % 1.0, (1 / root) ** (k + 1) % 1.0) for k in range(dims)]
+
+
+def hypervolume(front: DataFrame, objectives: list[str], ref: list[float], samples: int = 7 * SAMPLES_PER_ROW, seed: int = 0) -> DataFrame:
+    """O02 for any number of objectives: an estimate of what a front dominates within the reference point, one row.
+
+    Sample points are numbered, and a number alone gives a point: every task makes the same ones, marks those that its
+    part of the front dominates in bitmaps, and bitmaps are joined by or. So the estimate doesn't depend on partitions,
+    and no task holds the front. `error` is a bound for three standard deviations of as many independent points (0.1 %
+    of the box for 230,000 of them; an additive recurrence does better). Points that don't beat the reference count for
+    nothing. `samples` is rounded up to whole bitmaps.
+    """
+    inside = F.lit(True)
+    for c, r in zip(objectives, ref, strict=True):
+        inside = inside & (F.col(c) < r)
+    own = front.where(inside).select(*[F.col(c).cast("double").alias(f"o{k}") for k, c in enumerate(objectives)])
+    low = list(own.agg(*[F.min(c) for c in own.columns]).first())
+    if low[0] is None:
+        return front.sparkSession.createDataFrame([(0.0, 0.0)], "hypervolume double, error double")
+    rows, steps = -(-samples // SAMPLES_PER_ROW), sample_steps(len(ref), seed)
+    at, span = np.array(low), np.array(ref, float) - np.array(low)
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros((rows, SAMPLES_PER_ROW), bool)
+        for f in frames:
+            y = f.to_numpy(float)
+            for r in range(rows):
+                i = np.arange(r * SAMPLES_PER_ROW, (r + 1) * SAMPLES_PER_ROW, dtype=float) + 1
+                points = np.stack([(start + i * step) % 1.0 for start, step in steps], axis=1) * span + at
+                for p in y:
+                    left = np.flatnonzero(~bits[r])
+                    bits[r, left[(points[left] >= p).all(axis=1)]] = True
+        yield pd.DataFrame({"row": np.arange(rows), "bits": [np.packbits(b, bitorder="little").tobytes() for b in bits]})
+
+    hits = own.mapInPandas(mark, "row long, bits binary").groupBy("row").agg(F.bitmap_or_agg("bits").alias("b")).agg(F.sum(F.bitmap_count("b")).alias("n"))
+    share, box = F.col("n") / (rows * SAMPLES_PER_ROW), float(np.prod(span))
+    return hits.select((share * box).alias("hypervolume"), (3 * F.sqrt(share * (1 - share) / (rows * SAMPLES_PER_ROW)) * box).alias("error"))
 
 
 def reference_point(df: DataFrame, objectives: list[str]) -> DataFrame:
