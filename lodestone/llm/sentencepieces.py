@@ -20,6 +20,7 @@ function; further columns of the input, also of those names, are dropped.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free, mapped, table_batch, texts, whole, written
+from lodestone.llm.common import free, in_parts, mapped, table_batch, texts, whole, written
 
-#: Bounds: entries of the broadcast table, entries of a task's or worker's own table, bytes of a chunk that is kept.
-TABLE, CACHE, LONG_BYTES = 262_144, 400_000, 64
+#: Bounds: entries of the broadcast table, entries of a worker's own table beside it, chunks that a task counts at once, bytes of a chunk that is kept.
+TABLE, CACHE, COUNTED, LONG_BYTES = 131_072, 100_000, 200_000, 64
 #: The space marker is written U+2581; a text that holds it means a space to the model.
 MARKER = "▁".encode()
 CHUNKS = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
@@ -60,7 +61,6 @@ class Model:
             and not any(p.type == kinds.USER_DEFINED for p in held.pieces)
             and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         )
-        self.lead = len(self.processor.encode("\n"))
         #: For decoding: the bytes of each piece, empty for control pieces.
         control = {kinds.CONTROL}
         raw = [b"" if p.type in control else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.encode().replace(MARKER, b" ") for p in held.pieces]
@@ -72,32 +72,41 @@ class Model:
         self.own: dict[bytes, bytes] = {}
 
     def segment(self, chunks: list[bytes]) -> list[bytes]:
-        """Each chunk's ids, little-endian of 4 bytes; a line break before it keeps the dummy prefix off, and its ids go again."""
-        out = []
+        """Each chunk's ids, little-endian of 4 bytes.
+
+        Many chunks are one text, each behind a line break: that keeps the dummy prefix off, and parts the ids again.
+        """
+        out, lead = [], self.processor.encode("\n")
         for i in range(0, len(chunks), 1024):
-            ids = self.processor.encode(["\n" + x.decode("utf-8", "replace") for x in chunks[i : i + 1024]], num_threads=1)
-            out += [np.array(x[self.lead :], "<u4").tobytes() for x in ids]
+            part = chunks[i : i + 1024]
+            words = [x for x in part if x != b"\n"]
+            ids = np.array(self.processor.encode("\n" + "\n".join([x.decode("utf-8", "replace") for x in words])), "<u4")
+            cuts = np.append(np.flatnonzero(ids == lead[-1]), len(ids))
+            data, at = ids.tobytes(), iter(zip((4 * cuts[:-1] + 4).tolist(), (4 * cuts[1:]).tolist(), strict=True))
+            line = np.array(lead[-1:], "<u4").tobytes()
+            out += [line if x == b"\n" else data[slice(*next(at))] for x in part]
         return out
 
-    def encode(self, text: bytes) -> bytes:
-        """A text's ids."""
-        if not text:
-            return b""
+    def encode(self, data: list[bytes]) -> list[bytes]:
+        """Each text's ids; what the table lacks is segmented once for all the texts given."""
         if not self.parted:
-            return np.array(self.processor.encode(text.decode("utf-8", "replace")), "<u4").tobytes()
-        chunks = chunked(self.dummy + text)
-        try:
-            return b"".join(map(self.own.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = list(set(chunks).difference(self.own))
-        if len(self.own) + len(new) > CACHE + len(self.fixed):
-            self.own = dict(self.fixed)
-            new = list(set(chunks).difference(self.own))
-        learnt = dict(zip(new, self.segment(new), strict=True))
-        out = b"".join([self.own[x] if x in self.own else learnt[x] for x in chunks])
-        room = CACHE + len(self.fixed) - len(self.own)
-        self.own.update([x for x in learnt.items() if len(x[0]) <= LONG_BYTES][:room])
+            return [np.array(self.processor.encode(x.decode("utf-8", "replace")), "<u4").tobytes() for x in data]
+        out = []
+        for part in in_parts(data):
+            texts_ = [chunked(self.dummy + x) if x else [] for x in part]
+            new = list({x for chunks in texts_ for x in chunks if x not in self.own})
+            if len(self.own) + len(new) > CACHE + len(self.fixed):
+                self.own = dict(self.fixed)
+                new = list({x for chunks in texts_ for x in chunks if x not in self.own})
+            learnt = dict(zip(new, self.segment(new), strict=True))
+            self.own.update(learnt)
+            out += [b"".join(map(self.own.__getitem__, chunks)) for chunks in texts_]
+            if len(self.own) > CACHE + len(self.fixed):
+                self.own = dict(self.fixed)
+            else:
+                for x in learnt:
+                    if len(x) > LONG_BYTES:
+                        del self.own[x]
         return out
 
     def fix(self, table: dict[bytes, bytes]) -> None:
@@ -146,16 +155,16 @@ def distinct_chunks(docs: DataFrame, dummy: bytes, text_col: str = "text") -> Da
         part, seen = TaskContext.get().partitionId(), Counter()
 
         def drained():
-            rows = [(x, n) for x, n in seen.items() if len(x) <= LONG_BYTES]
+            rows = iter(seen.items())
+            while some := list(itertools.islice(rows, 1 << 15)):
+                some = [x for x in some if len(x[0]) <= LONG_BYTES]
+                yield table_batch(schema, [[x for x, _ in some], [n for _, n in some], [part] * len(some)])
             seen.clear()
-            for i in range(0, len(rows), 1 << 16):
-                chunks, counts = zip(*rows[i : i + (1 << 16)], strict=True)
-                yield table_batch(schema, [list(chunks), list(counts), [part] * len(chunks)])
 
         for batch in batches:
             for text in texts(batch, 0):
                 seen.update(chunked(dummy + text) if text else ())
-                if len(seen) > CACHE:
+                if len(seen) > COUNTED:
                     yield from drained()
         yield from drained()
 
@@ -200,7 +209,7 @@ def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col
         own = model(model_file)
         own.fix(held.value)
         for batch in batches:
-            yield table_batch(schema, [batch.column(0).cast(id_type), _lists([own.encode(x) for x in texts(batch, 1)])])
+            yield table_batch(schema, [batch.column(0).cast(id_type), _lists(own.encode(texts(batch, 1)))])
 
     return mapped(whole(docs, id_col, text_col), run, f"`{id_col}` {'string' if kind == 'string' else 'long'}, ids array<int>")
 
