@@ -8,8 +8,10 @@ Nothing that is learnt is held on the driver or broadcast. Texts are cut into ch
 text), written once as word numbers. Each chunk sends its distinct histories with the arcs it takes to the shards that
 their hashes name; a shard adds up the training counts of all chunks and answers with each history's count and number of
 arcs, and each arc's count; one chunk of those that hold a history counts it as an arc of its first word. Words do the
-same. A chunk then follows its texts from state to state by its answers. A shard's size is bounded: there are at least
-as many shards as chunks / CHUNKS_A_SHARD.
+same. From the answers a chunk builds the part of the automaton that its texts can reach: a state for the empty history,
+each word and each pair of words, arcs in one sorted array with their log weights and ends, and each state's failure arc.
+One pass from left to right carries the state through each text, many texts side by side: a word that has no arc takes
+failure arcs until one has. A shard's size is bounded: there are at least as many shards as chunks / CHUNKS_A_SHARD.
 
 Words are compared by 64-bit hashes, histories by 56 bits, the arcs of one history by 40. Null texts count as empty:
 the end alone. A text of any length is one piece of its chunk. Repeated rows are scored each; ids are hashed as text to
@@ -36,6 +38,8 @@ CHUNK, CHUNKS_A_SHARD = 1 << 20, 2
 #: Bits of the hashes by which histories, and the arcs of one history, are compared.
 HISTORY_BITS, ARC_BITS = 56, 40
 END = b" "  # the end as a word that no text has
+#: Words that one lane of the traversal reads; a longer text takes several, each led in by the two words before it, which fix the state.
+LANE = 128
 
 
 def held_out(doc) -> bool:
@@ -216,6 +220,83 @@ def _word_answers(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_packets(rows)])
 
 
+class Automaton:
+    """A weighted backoff automaton over words 0..n-1: state 0 is the empty history, 1 + v the history v, 1 + n + k the k-th pair.
+
+    `keys` are the arcs as state * n + word, rising; the empty history has an arc for every word, at `root`. Weights are
+    log10. An arc's end is the longest history that training knows.
+    """
+
+    def __init__(self, n: int, root: np.ndarray, keys: np.ndarray, weights: np.ndarray, ends: np.ndarray, failure: np.ndarray, back: np.ndarray):
+        self.n, self.root, self.keys, self.weights, self.ends, self.failure, self.back = n, root, keys, weights, ends, failure, back
+        self.failures = 0
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each lane's log weight of its word, failure arcs included, and its next state."""
+        add, nxt = np.empty(len(state)), np.empty(len(state), np.int32)
+        left, gone = np.arange(len(state)), np.zeros(len(state))
+        while len(left):
+            empty = state == 0
+            if empty.any():
+                at = left[empty]
+                add[at], nxt[at] = gone[empty] + self.root[word[empty]], 1 + word[empty]
+                left, state, word, gone = left[~empty], state[~empty], word[~empty], gone[~empty]
+            if not len(left) or not len(self.keys):
+                if not len(left):
+                    break
+                hit = np.zeros(len(left), np.bool_)
+            else:
+                key = state.astype(np.int64) * self.n + word
+                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[arc] == key
+                at = left[hit]
+                add[at], nxt[at] = gone[hit] + self.weights[arc[hit]], self.ends[arc[hit]]
+            miss = ~hit
+            self.failures += int(miss.sum())
+            left, word, gone, state = left[miss], word[miss], gone[miss] + self.failure[state[miss]], self.back[state[miss]]
+        return add, nxt
+
+    def traverse(self, words: np.ndarray, first: np.ndarray, lens: np.ndarray, begin: int) -> np.ndarray:
+        """Each text's sum of log weights; a text begins in the state of `begin`, a later lane in that of the two words before it."""
+        lanes = -(-lens // LANE)
+        text = np.repeat(np.arange(len(lens)), lanes)
+        skip = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        lead = np.minimum(skip, 2)
+        at, size = first[text] + skip - lead, np.minimum(LANE, lens[text] - skip) + lead
+        order = np.argsort(-size, kind="stable")
+        at, size, lead, text = at[order], size[order], lead[order], text[order]
+        state = np.where(skip[order] == lead, 1 + begin, 0).astype(np.int32)
+        total = np.zeros(len(text))
+        active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        for j, k in enumerate(active.tolist()):
+            add, state[:k] = self.step(state[:k], words[at[:k] + j])
+            total[:k] += np.where(lead[:k] <= j, add, 0.0)
+        return np.bincount(text, total, len(lens))
+
+
+def _automaton(chunk: _Chunk, below: int, c1, n1, c2, n2, c3) -> Automaton:
+    """The chunk's part of the automaton, from the counts that the shards answered with."""
+    n = len(chunk.hashes)
+    # an arc's probability, interpolated with the shorter history's; what discounting leaves over is the failure arc's
+    step = lambda c, of, arcs, lower: (np.maximum(c - DISCOUNT, 0) + DISCOUNT * arcs * lower) / np.maximum(of, 1)
+    p1 = (c1 + 1) / below
+    p2 = np.where(c1[chunk.u] > 0, step(c2, c1[chunk.u], n1[chunk.u], p1[chunk.v]), p1[chunk.v])
+    two = np.flatnonzero(c2 > 0)
+    keys2 = (1 + chunk.u[two]) * n + chunk.v[two]
+    three = np.flatnonzero(c3 > 0)
+    history, w = chunk.history[three], chunk.w[three]
+    after = chunk.v[history] * n + w
+    pairs = chunk.u * n + chunk.v
+    shorter = np.minimum(np.searchsorted(pairs, after), len(pairs) - 1)  # behind an end there is no pair, and no text goes on
+    p3 = step(c3[three], c2[history], n2[history], p2[shorter])
+    keys3 = (1 + n + history) * n + w
+    weigh = lambda of, arcs: np.log10(np.where((of > 0) & (arcs > 0), DISCOUNT * arcs / np.maximum(of, 1), 1.0))
+    failure = np.concatenate([[0.0], weigh(c1, n1), weigh(c2, n2)])
+    back = np.concatenate([np.zeros(1 + n, np.int32), (1 + chunk.v).astype(np.int32)])
+    ends = np.concatenate([1 + n + two, 1 + n + shorter]).astype(np.int32)
+    return Automaton(n, np.log10(p1), np.concatenate([keys2, keys3]), np.log10(np.concatenate([p2[two], p3])), ends, failure, back)
+
+
 def _scores(shards: int, total: int, distinct: int, out: pa.Schema):
     below = total + distinct + 1
 
@@ -226,19 +307,11 @@ def _scores(shards: int, total: int, distinct: int, out: pa.Schema):
         c2, n2, c3 = _put(chunk.order, c2), _put(chunk.order, n2), _put(chunk.arc_order, c3)
         order, _ = _word_order(chunk.hashes, shards)
         c1, n1 = (_put(order, x) for x in _gathered(table, "words"))
-        # a history's arc and failure arc; a history that training lacks leaves everything to the shorter one
-        step = lambda c, of, arcs, lower: np.where(of > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * arcs * lower) / np.maximum(of, 1), lower)
-        p1 = (c1 + 1) / below
-        p2 = step(c2, c1[chunk.u], n1[chunk.u], p1[chunk.v])
-        p = p2[chunk.pair]
-        later = np.ones(len(p), np.bool_)
-        later[chunk.first] = False
-        later = np.flatnonzero(later)
-        arc, history = chunk.triple[later - 1], chunk.pair[later - 1]
-        p[later] = step(c3[arc], c2[history], n2[history], p[later])
+        del table, chunk.pair, chunk.triple, chunk.train
+        own = _automaton(chunk, below, c1, n1, c2, n2, c3)
+        score = own.traverse(chunk.words, chunk.first, chunk.lens, 0)
         add = lambda x: np.add.reduceat(x, chunk.first)
-        base, score = add(np.log10(p1)[chunk.words]), add(np.log10(p))
-        known = add((c1 > 0)[chunk.words].astype(np.int64))
+        base, known = add(own.root[chunk.words]), add((c1 > 0)[chunk.words].astype(np.int64))
         return pa.Table.from_batches([table_batch(out, [ids, [held_out(d) for d in ids], chunk.lens, known, np.full(len(ids), total), base, score])])
 
     return run

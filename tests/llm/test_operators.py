@@ -10,6 +10,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -351,6 +352,33 @@ def test_lm_scores_use_every_n_gram(docs, rows, chunk, monkeypatch):
         assert math.isclose(r.score, want, rel_tol=1e-9)
 
 
+def test_automaton_takes_failure_arcs():
+    """Words 0 (begin), 1 and 2; pairs (0, 1) and (1, 2), the triple (0, 1, 2): failure arcs are taken one by one, and only where an arc lacks."""
+    n = 3
+    own = lm.Automaton(n, np.log10([0.2, 0.3, 0.5]), np.array([(1 + 0) * n + 1, (1 + 1) * n + 2, (1 + n + 0) * n + 2]), np.log10([0.6, 0.7, 0.8]), np.array([1 + n, 2 + n, 2 + n], np.int32), np.log10([1.0, 0.1, 0.2, 1.0, 0.4, 0.9]), np.array([0, 0, 0, 0, 2, 3], np.int32))
+    score = own.traverse(np.array([1, 2, 1]), np.array([0]), np.array([3]), 0)
+    # 1 by the pair's arc, 2 by the triple's, then from (1, 2) by its failure arc to 2 and by that one's to the empty history
+    assert math.isclose(score[0], math.log10(0.6 * 0.8 * (0.9 * 1.0 * 0.3))) and own.failures == 2
+    own.failures = 0
+    score = own.traverse(np.array([2, 2]), np.array([0, 1]), np.array([1, 1]), 0)
+    assert np.allclose(score, math.log10(0.1 * 0.5)) and own.failures == 2
+
+
+def test_long_texts_are_read_in_lanes(monkeypatch):
+    rng = np.random.default_rng(1)
+    n, words = 4, np.random.default_rng(2).integers(1, 4, 1000)
+    pairs = [(u, v) for u in range(n) for v in range(1, n) if (u + v) % 3]
+    keys = [(1 + u) * n + v for u, v in pairs] + [(1 + n + k) * n + w for k, _ in enumerate(pairs) for w in range(1, n) if (k + w) % 2]
+    ends = [1 + n + k for k in range(len(pairs))] + [1 + n + pairs.index((pairs[k][1], w)) if (pairs[k][1], w) in pairs else 1 + w for k, _ in enumerate(pairs) for w in range(1, n) if (k + w) % 2]
+    make = lambda: lm.Automaton(n, root, np.array(keys), weights, np.array(ends, np.int32), failure, np.array([0] * (1 + n) + [1 + v for _, v in pairs], np.int32))
+    root, weights, failure = -rng.random(n), -rng.random(len(keys)), -rng.random(1 + n + len(pairs))
+    first, lens = np.array([0, 700, 701]), np.array([700, 1, 299])
+    want = make().traverse(words, first, lens, 0)
+    for lane in (1, 2, 7, 1000):
+        monkeypatch.setattr(lm, "LANE", lane)
+        assert np.allclose(make().traverse(words, first, lens, 0), want)
+
+
 def test_url_filter(spark):
     page = lambda *links: "".join(f'<a class="x" href="{x}">l</a>' for x in links)
     data = [
