@@ -165,8 +165,8 @@ LICENCES = (
 
 
 def licence_code(text: Column, url: Column) -> Column:
-    """F16: a Creative Commons code such as CC-BY-4.0, or null."""
-    said = F.lower(F.concat_ws(" ", text, url))
+    """F16: a Creative Commons code such as CC-BY-4.0, or null; what the URL says comes before what the text says."""
+    said = F.lower(F.concat_ws(" ", url, text))
     codes = [F.when(said.rlike(p), F.upper(F.regexp_replace(F.regexp_extract(said, p, 0), f"^{p}$", code))) for p, code in LICENCES]
     return F.coalesce(*codes)
 

@@ -10,6 +10,7 @@ from lodestone.functions import udf
 from lodestone.operators import meta, pointers, retrieve, segment
 from lodestone.operators import relational as R
 from lodestone.plans.evidence import ITEMS, SUMMARIES, items
+from lodestone.operators.ranks import ranked
 from lodestone.plans.registry import query, r6, s6, table
 from lodestone.sources import bibtex, sinks, tables
 from lodestone.streaming.events import stored
@@ -69,10 +70,11 @@ def f15(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.scrub(t).alias("t"))
 
 
-@query("f16_licences", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'CC-BY-4.0' WHEN 1 THEN 'CC-BY-NC-SA-3.0' WHEN 2 THEN 'CC0-1.0' WHEN 3 THEN 'CC-BY-4.0' END AS code FROM supplier")
+@query("f16_licences", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'CC-BY-4.0' ELSE 'CC-BY-NC-4.0' END WHEN 1 THEN 'CC-BY-NC-SA-3.0' WHEN 2 THEN 'CC0-1.0' WHEN 3 THEN 'CC-BY-4.0' END AS code FROM supplier")
 def f16(spark, sf_dir):
-    url = of5("s_suppkey", F.lit("https://creativecommons.org/licenses/by/4.0/"), F.lit("HTTP://CreativeCommons.org/licenses/by-nc-sa/3.0"), F.lit("http://creativecommons.org/publicdomain/zero/1.0/"), F.lit(""), F.lit("http://example.org/licenses/by/4.0"))
-    text = F.when(F.col("s_suppkey") % 5 == 3, "under Creative Commons Attribution 4.0 terms").otherwise(F.col("s_name"))
+    odd = F.col("s_suppkey") % 2 == 1  # a URL and a text that disagree: the URL counts
+    url = of5("s_suppkey", F.when(odd, "https://creativecommons.org/licenses/by-nc/4.0/").otherwise("https://creativecommons.org/licenses/by/4.0/"), F.lit("HTTP://CreativeCommons.org/licenses/by-nc-sa/3.0"), F.lit("http://creativecommons.org/publicdomain/zero/1.0/"), F.lit(""), F.lit("http://example.org/licenses/by/4.0"))
+    text = F.when(F.col("s_suppkey") % 5 == 3, "under Creative Commons Attribution 4.0 terms").when(F.col("s_suppkey") % 5 == 0, "see https://creativecommons.org/licenses/by/3.0/").otherwise(F.col("s_name"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.licence_code(text, url).alias("code"))
 
 
@@ -259,14 +261,24 @@ def s15(spark, sf_dir):
     return tables.read_metadata(spark, at, "title string", name="*")
 
 
-@query("s19_files", "SELECT count(*)::BIGINT AS files, bool_and(true) AS ok FROM region")
+@query("s19_files", """WITH c AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 10 <> 0), f AS (SELECT k, CASE k % 10 WHEN 1 THEN 'tampered' WHEN 2 THEN 'extra' WHEN 3 THEN 'missing' WHEN 4 THEN 'unsafe_path' WHEN 5 THEN 'out_of_order' END AS fault FROM c)
+SELECT k, fault FROM f WHERE fault IS NOT NULL UNION ALL SELECT k, 'extra' FROM f WHERE k % 10 = 4""")
 def s19(spark, sf_dir):
-    """Files, their manifest, and the check against it."""
+    """A file for each supplier, a bundle's manifest with planted faults, and what the check finds.
+
+    Files with another hash than the manifest says, files in no manifest, manifest rows without a file, with a path that leaves the folder, or in the wrong place.
+    """
     at = stored(spark) + "/files"
-    table(spark, sf_dir, "region").select(F.col("r_name").alias("value"), F.col("r_regionkey").alias("n")).write.partitionBy("n").text(at)
+    c = table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select("s_name", F.col("s_suppkey").alias("k"))
+    c.where("k % 10 <> 3").repartition("k").write.partitionBy("k").text(at)
     files = tables.read_files(spark, at, "part-*")
-    manifest = files.select(F.regexp_extract("path", r"(n=\d+/[^/]+)$", 1).alias("path"), "sha256")
-    return tables.verified_files(files, manifest, at).agg(F.count("*").alias("files"), F.bool_and("ok").alias("ok"))
+    own = files.select(F.regexp_extract("path", r"(k=\d+/[^/]+)$", 1).alias("path"), "sha256").withColumn("k", F.regexp_extract("path", r"^k=(\d+)", 1).cast("long"))
+    kind = F.col("k") % 10
+    rows = own.where(kind != 2).select("k", F.when(kind == 4, F.concat(F.lit("../files/"), "path")).otherwise(F.col("path")).alias("path"), F.when(kind == 1, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    lost = c.where("k % 10 = 3").select("k", F.concat(F.lit("k="), F.col("k").cast("string"), F.lit("/part-0.txt")).alias("path"), F.sha2("s_name", 256).alias("sha256"))
+    ordered = ranked(rows.unionByName(lost), ["path"], "position").withColumn("position", F.when(F.col("k") % 10 == 5, -F.col("position") - 1).otherwise(F.col("position")))
+    found = tables.bundle_faults(files, ordered.select("position", "path", "sha256"), at)
+    return found.select(F.regexp_extract("path", r"k=(\d+)/", 1).cast("long").alias("k"), "fault")
 
 
 @query("s01_bibliography", "SELECT 'S' || s_suppkey AS paper_id, s_name AS title, (1990 + s_suppkey % 30)::INTEGER AS year, 'A, B;C, D' AS authors FROM supplier")

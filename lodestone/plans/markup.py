@@ -43,6 +43,24 @@ def e02(spark, sf_dir):
     return line.select("l_orderkey", "l_linenumber", udf.infer_effect(quote, F.lit(1), F.lit("x")).alias("e")).select("l_orderkey", "l_linenumber", r6(F.col("e.effect")).alias("effect"), "e.variance", "e.source")
 
 
+@query("e06_group_statistics", f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER::DOUBLE AS q, (1 + l_partkey % 90)::DOUBLE AS p, (1 + l_suppkey % 9)::DOUBLE AS d, (l_orderkey + l_linenumber) % 6 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, {s6("CASE WHEN k <> 4 THEN ln(q / p) END")} AS effect, {s6("CASE k WHEN 0 THEN d * d / (5 * q * q) + 4 / (4 * p * p) WHEN 1 THEN d * d * 6 / (6 * q * q) + 0.25 * 0.25 * 9 / (9 * p * p) WHEN 2 THEN 1 / (5 * q * q) + 1 / (5 * p * p) WHEN 5 THEN d * d / (7 * q * q) + d * d / (8 * p * p) END")} AS variance,
+CASE WHEN k IN (0, 1, 2, 5) THEN 'treatment_control_mean_sd_n' WHEN k = 3 THEN 'treatment_control_means' END AS source FROM l""")
+def e06(spark, sf_dir):
+    """Means with standard deviations or errors, a label whose clause is longer than a label may be, bare means, a label of both groups, and the shape with plus and minus."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), (1 + F.col("l_partkey") % 90).alias("p"), (1 + F.col("l_suppkey") % 9).alias("d"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 6).alias("k"))
+    shapes = [
+        "treated cells mean %1$d SD %3$d n 5; control cells mean %2$d SD 2 n 4", "FGF2 mean = %1$d, SEM = %3$d, n = 6; vehicle mean = %2$d, s.e.m. 0.25, n = 9",
+        "the control donors that were pooled over several weeks and then expanded once again before the treated cells mean %1$d SD 1 n 5; control cells mean %2$d SD 1 n 5", "treated cells reached %1$d units in culture; control cells reached %2$d units in culture",
+        "treated versus control cells mean %1$d SD 1 n 5; control mean %2$d SD 1 n 5", "treated: %1$d ± %3$d (SD, n = 7); control: %2$d ± %3$d (SD, n = 8)",
+    ]
+    quote = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        quote = F.when(F.col("k") == k, F.format_string(shape, "q", "p", "d")).otherwise(quote)
+    out = line.select("l_orderkey", "l_linenumber", udf.infer_effect(quote, F.lit(1), F.lit("FGF2")).alias("e"))
+    return out.select("l_orderkey", "l_linenumber", r6(F.col("e.effect")).alias("effect"), r6(F.col("e.variance")).alias("variance"), "e.source")
+
+
 @query("l05_operator_extraction")
 def l05(spark, sf_dir):
     """L01, L05, E01 with a mock that quotes the text's beginning."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.functions.text import direction_from_text
+from lodestone.operators.ranks import ranked
 
 #: Decisions that carry evidence, and metrics that are ratios.
 SUPPORTED = ("supported", "partial")
@@ -72,6 +73,24 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return raw.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("stem"), F.sha2("content", 256).alias("sha256"), "content")
 
 
+def bundle_faults(files: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
+    """Path and fault of whatever a bundle's manifest (position, path, sha256; sorted by path from 0) and its files disagree on.
+
+    unsafe_path: the path leaves the folder; missing: no such file; tampered: another hash; out_of_order: not at its
+    path's rank; extra: a file that the manifest doesn't name. The first of these that holds; no rows for a good bundle.
+    """
+    checked = verified_files(files, manifest, root)
+    safe = ~F.col("path").rlike(r"(^/|(^|/)\.\.(/|$))")
+    plain = lambda x: F.regexp_replace(x, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+|^/+", "/")
+    own = files.select(plain(F.col("path")).alias("_p")).select(F.substr("_p", F.length(F.concat(F.rtrim(plain(F.lit(root)), F.lit("/")), F.lit("/"))) + 1).alias("path"))
+    there = own.distinct().withColumn("_there", F.lit(True))
+    place = ranked(manifest.select("path"), ["path"], "_rank").groupBy("path").agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi"))
+    met = checked.join(there, "path", "left").join(place, "path", "left")
+    fault = F.when(~safe, "unsafe_path").when(F.col("_there").isNull(), "missing").when(~F.col("ok"), "tampered").when(~F.col("position").between(F.col("_lo"), F.col("_hi")), "out_of_order")
+    extra = own.join(manifest.select("path"), "path", "left_anti").select("path", F.lit("extra").alias("fault"))
+    return met.select("path", fault.alias("fault")).where("fault is not null").unionByName(extra)
+
+
 def verified_files(files: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
     """Manifest rows (path relative to root, sha256) with `ok`: the file is there under a safe path and has its hash."""
     plain = lambda x: F.regexp_replace(x, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+|^/+", "/")  # noqa: E731  without scheme and host
