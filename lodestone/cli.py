@@ -1,13 +1,21 @@
-"""Command line: `lodestone list`, `run|schema|explain QUERY TABLES`, and verbs that run several queries: `lodestone evidence TABLES [--out DIR]`."""
+"""Command line.
+
+Over a user's own files: `lodestone ingest STORE FOLDER`, then `triage`, `extract`, `stats`, `evidence`, `evidence-audit`,
+`extraction-readiness`, `adjudication-template`, `adjudication-validate`, `adjudication-status`, `adjudication-export`,
+`export` on the STORE. A model client is named as module:factory. Over the driver's tables: `list`, `run|schema|explain
+QUERY TABLES`, `demo VERB TABLES`, `smoke TABLES`.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 
 from pyspark.sql import SparkSession
 
 
-#: What a verb reports, as the queries that it runs: C03-C16.
+#: What a demonstration of a verb reports, as the queries that it runs: C03-C16.
 VERBS = {
     "extract": ("l04_block_extraction", "l05_operator_extraction", "x09_evidence_rows"),
     "export": ("k05_csv_round_trip", "k08_jsonl_round_trip"),
@@ -40,9 +48,47 @@ def report(spark, verb: str, tables: str, out: str | None) -> None:
             df.show(10, truncate=80)
 
 
+def client(name: str):
+    """The factory that module:factory names."""
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)
+
+
+def rows(df, out: str | None) -> None:
+    from lodestone.sources.sinks import flat
+
+    if out:
+        flat(df).write.mode("errorifexists").csv(out, header=True, lineSep="\n", emptyValue="", quote='"', escape='"')
+    else:
+        df.show(50, truncate=80)
+
+
+#: C01-C14 over a store: what each verb takes besides the store, and what it does.
+STORE_VERBS = {
+    "init": ((), lambda s, a: print(f"{s.path}: nothing is written before the first ingest")),
+    "ingest": (("folder", "--force"), lambda s, a: print(json.dumps(s.ingest(a.folder, force=a.force)))),
+    "triage": (("--client",), lambda s, a: print(s.triage(client(a.client)))),
+    "extract": (("--client", "--guides", "--tiers"), lambda s, a: print(s.extract(client(a.client), json.loads(a.guides or "{}"), tiers=tuple(filter(None, (a.tiers or "").split(",")))))),
+    "stats": (("--out",), lambda s, a: rows(s.stats(), a.out)),
+    "evidence": (("--out",), lambda s, a: rows(s.evidence(), a.out)),
+    "evidence-audit": (("--out",), lambda s, a: rows(s.evidence_audit(), a.out)),
+    "extraction-readiness": (("--terms", "--out"), lambda s, a: rows(s.readiness(json.loads(a.terms or "{}")), a.out)),
+    "adjudication-template": (("--fields", "--force"), lambda s, a: print(s.template((a.fields or "").split(","), force=a.force))),
+    "adjudication-validate": (("--out",), lambda s, a: rows(s.validate(), a.out)),
+    "adjudication-status": (("--out",), lambda s, a: rows(s.status(), a.out)),
+    "adjudication-export": (("--out",), lambda s, a: rows(s.adjudicated(), a.out)),
+    "export": (("folder",), lambda s, a: print("\n".join(s.export(a.folder)))),
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodestone")
     sub = parser.add_subparsers(dest="verb", required=True)
+    for verb, (arguments, _) in STORE_VERBS.items():
+        p = sub.add_parser(verb)
+        p.add_argument("store")
+        for a in arguments:
+            p.add_argument(a, **({"action": "store_true"} if a == "--force" else {}))
     sub.add_parser("list")
     sub.add_parser("smoke").add_argument("tables")
     for verb in ("run", "schema", "explain"):
@@ -52,10 +98,10 @@ def main(argv: list[str] | None = None) -> int:
         if verb == "run":
             p.add_argument("--out")
             p.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
-    for verb in VERBS:
-        p = sub.add_parser(verb)
-        p.add_argument("tables")
-        p.add_argument("--out")
+    p = sub.add_parser("demo")
+    p.add_argument("what", choices=sorted(VERBS))
+    p.add_argument("tables")
+    p.add_argument("--out")
     args = parser.parse_args(argv)
     from lodestone import catalog
 
@@ -67,8 +113,13 @@ def main(argv: list[str] | None = None) -> int:
         for verb, names in VERBS.items():
             print(verb, *[f"{name}={catalog.QUERIES[name](spark, args.tables).count()}" for name in names])
         return 0
-    if args.verb in VERBS:
-        report(spark, args.verb, args.tables, args.out)
+    if args.verb in STORE_VERBS:
+        from lodestone.store import Store
+
+        STORE_VERBS[args.verb][1](Store(spark, args.store), args)
+        return 0
+    if args.verb == "demo":
+        report(spark, args.what, args.tables, args.out)
         return 0
     df = catalog.QUERIES[args.query](spark, args.tables)
     if args.verb == "schema":
