@@ -3,7 +3,9 @@
 Entities are found by one pattern. Each distinct unit (a number, an address, a name's word) of a text gets a surrogate
 that is keyed, of the same type and format, and for names of the same gender and script; equal units get equal
 surrogates, in every text (coreference), and within a text unequal units get unequal ones: a candidate that another
-unit has, or that stands in the text itself, is passed over for the next one of the keyed sequence.
+unit has, or that stands in the text itself, is passed over for the next one of the keyed sequence. People are found by
+their titles, with up to three words (initials, inner capitals, apostrophes, hyphens), and again wherever a word of such
+a name stands alone, unless that word is an ordinary one (AMBIGUOUS). Names without any title stay.
 
 Null texts stay null. Texts without entities stay as they are. Repeated rows come out alike; an empty table gives no
 rows. Other columns stay as they are, whatever their names.
@@ -35,7 +37,12 @@ END = {
     ("m", "cyrillic"): "н р м л слав мир".split(), ("f", "cyrillic"): "на ла ра та ия ся".split(), ("n", "cyrillic"): "ня ша ля ся".split(), ("last", "cyrillic"): "ко чук ых ряк ман дюк".split(),
     ("m", "greek"): "ς ος ης ων".split(), ("f", "greek"): "α η ια ίνα".split(), ("n", "greek"): "ις υ".split(), ("last", "greek"): "δης κης λος νος".split(),
 }
+#: Names that are words or months too: only behind a title are they names.
+AMBIGUOUS = "April August Bill Dean Faith Grace Hope Joy June Mark May Will".split()
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts.split())
+#: A name's word: inner capitals, and parts behind an apostrophe or hyphen ("O'Brien", "Müller-Lüdenscheidt"; not a genitive); or an initial.
+_WORD = r"\p{Lu}(?:['’]\p{Lu}\p{L}+|\p{L}+(?:['’-]\p{L}{2,})*)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
 PATTERN = "|".join(
     (
         r"(?<![\p{L}\p{Nd}._%+-])[\p{L}\p{Nd}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -43,8 +50,10 @@ PATTERN = "|".join(
         r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<![\d])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)",
-        r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d+.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-        rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: (?!(?:{_TITLE})\b)\p{{Lu}}\p{{Ll}}+)?",
+        r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d+.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
+        r"|(?<![\p{L}\d+.,-])0\d{2,4} \d{3,4} \d{3,4}(?!\d)|(?<![\p{L}\d+.,-])[2-9]\d{9}(?![\p{L}\d-])",
+        rf"(?<![\p{{L}}\d:])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\p{{L}}\d:])",
+        rf"(?<!\p{{L}})(?:{_TITLE})\.?(?: (?!(?:{_TITLE})\b)(?:\p{{Lu}}\.(?= \p{{Lu}})|{_WORD})){{1,3}}",
     )
 )
 COUNTRY = r"^\+\d{1,3}(?=[ .(-])"
@@ -54,7 +63,7 @@ TRIES = 12
 def _kind(e: Column) -> Column:
     return (
         F.when(F.contains(e, F.lit("@")), "email")
-        .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+        .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | e.rlike(r"^[0-9A-Fa-f]*:[0-9A-Fa-f:]+$"), "ip")
         .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}$"), "card")
@@ -119,7 +128,9 @@ def _candidate(key: str, unit: Column, b: Column, more: Column | None = None) ->
     email = F.concat(F.substr(letters, F.lit(1), F.greatest(F.lit(8), F.least(F.lit(24), F.locate("@", value) - 1))), F.lit("@mail"), F.substring(digits, 50, 2), F.lit(".example.org"))
     iban = F.concat(F.substring(value, 1, 2), F.substring(digits, 1, 2), F.substr(F.concat(digits, digits), F.lit(3), F.length(value) - 4))
     ip = F.concat_ws(".", F.lit("10"), *[(_number(h, k) % 256).cast("string") for k in (1, 8, 15)])
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
+    ip = F.when(F.contains(value, F.lit(":")), F.concat(F.lit("fd00:"), F.array_join(F.array(*[F.substring(h, k, 4) for k in (30, 34, 38)]), ":"), F.lit("::"), F.substring(h, 42, 4))).otherwise(ip)
+    initial = F.concat(F.get(F.split(F.when(value.rlike(r"\p{IsCyrillic}"), "АБВГДЕКЛМНОПРСТФ").when(value.rlike(r"\p{IsGreek}"), "ΑΒΓΔΕΖΘΙΚΛΜΝΟΠΡΣΤ").otherwise("ABCDEFGHJKLMNPRSTVW"), ""), _number(h, 1) % 16), F.lit("."))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "initial", initial).when(kind == "card", card).when(kind == "iban", iban)
     out = out.when(kind.isin("phone", "ssn"), F.substr(digits, F.lit(1), F.length(value)))
     for role, script in END:
         out = out.when(kind == f"{role}-{script}", _name(h, role, script, F.lit("") if more is None else more))
@@ -133,7 +144,7 @@ def _units(e: Column) -> Column:
     role = F.when(title.isin(*TITLES["m"].split()), "m").when(title.isin(*TITLES["f"].split()), "f").otherwise("n")
     words = F.split(F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", ""), " ")
     script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    names = F.transform(words, lambda w, i: F.struct(F.concat_ws("-", F.when(i < F.size(words) - 1, role).otherwise("last"), script(w)).alias("kind"), w.alias("value")))
+    names = F.transform(words, lambda w, i: F.struct(F.when(F.endswith(w, F.lit(".")), "initial").otherwise(F.concat_ws("-", F.when(i < F.size(words) - 1, role).otherwise("last"), script(w))).alias("kind"), w.alias("value")))
     value = F.when(kind == "email", F.lower(e)).when(kind.isin("phone", "ssn", "card"), F.regexp_replace(F.regexp_replace(e, COUNTRY, ""), r"\D", "")).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
     return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
 
@@ -156,6 +167,8 @@ def replace(docs: DataFrame, key: str, *, text_col: str = "text", found_col: str
     Columns keep their names, but for one called as `found_col`, whose place it takes. Texts of any length are taken
     whole; of units that tie for a surrogate, the first in order of kind and value has it.
     """
+    if not key:
+        raise ValueError("surrogates need a key: without one, anyone could build the same")
     names = []
     for base in ("_p_found", "_p_units", "_p_held", "_p_new", "_p_all"):
         while base in docs.columns:
@@ -168,7 +181,7 @@ def replace(docs: DataFrame, key: str, *, text_col: str = "text", found_col: str
     df = df.withColumn(units, F.when(some, F.array_sort(F.array_distinct(F.flatten(F.transform(found, _units))))))
     # a name that a title introduces is found again without it
     person = F.filter(units, lambda u: F.contains(u["kind"], F.lit("-")))
-    words = F.array_sort(F.array_distinct(F.transform(person, lambda u: u["value"])))
+    words = F.array_sort(F.array_except(F.array_distinct(F.transform(person, lambda u: u["value"])), F.array(*map(F.lit, AMBIGUOUS))))
     bare = F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(")(?: (?:"), F.array_join(words, "|"), F.lit(r"))?(?!\p{L})"))
     df = df.withColumn(pattern, F.when(some & (F.size(words) > 0), bare).otherwise(F.lit(PATTERN)))
     df = df.withColumn(found, F.when(F.size(words) > 0, F.regexp_extract_all(text, F.col(pattern), 0)).otherwise(F.col(found)))

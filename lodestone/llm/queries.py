@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +55,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_pii_surrogates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is the session's spark.lodestone.surrogateKey; without one, surrogates are the same for everyone."""
-    done = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.lodestone.surrogateKey", ""))
+    """The key is the session's spark.lodestone.surrogateKey; where it is unset, one is drawn for this run and forgotten."""
+    key = spark.conf.get("spark.lodestone.surrogateKey", None) or token_hex(32)
+    done = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     counts = [F.size(F.expr(f"filter(entities, e -> e.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return done.select("doc_id", "text", *counts)
 

@@ -519,3 +519,20 @@ def test_pii_against_brute_force(spark):
         got = {r.doc_id: r.text for r in pii.replace(df, key).collect()}
         assert got == {k: brute_surrogates(t, key) for k, t in enumerate(texts)}
     assert pii.replace(df.limit(0), "key").collect() == []
+
+
+def test_pii_leaves_no_part_of_a_name_and_no_number(spark):
+    texts = {
+        "Mr. McDonald spoke.": ["McDonald", "Donald"], "Mr. O'Brien and Mr. O’Neill left.": ["Brien", "Neill"], "Frau Müller-Lüdenscheidt kam.": ["Müller", "Lüdenscheidt"], "Mr. John Fitzgerald Kennedy won.": ["John", "Fitzgerald", "Kennedy"],
+        "Dr. Ada B. Lovelace wrote.": ["Ada", " B.", "Lovelace"], "Call 020 7946 0958 or 5551234567.": ["7946", "5551234567"], "Host fe80::1 and 2001:db8:0:0:1:2:3:4.": ["fe80", "2001:db8"], "Mr. Smith's hat; Smith's.": ["Smith"],
+    }
+    stay = ["At 12:30:45 and 10:20, std::vector, a ratio of 1:2:3, 1700000000 s, ids 55512345678 and x5551234567.", "It is May. Will you come in June?"]
+    df = spark.createDataFrame(list(enumerate([*texts, *stay, "Mr. May left in May. May you rest."])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(df, "k").collect()}
+    for k, (text, gone) in enumerate(texts.items()):
+        assert not any(g in got[k] for g in gone), (text, got[k])
+    assert re.fullmatch(r"Call \d{3} \d{4} \d{4} or \d{10}\.", got[5]) and re.fullmatch(r"Mr\. (\w+)'s hat; \1's\.", got[7])
+    assert [got[len(texts) + k] for k in range(2)] == stay
+    assert got[len(texts) + 2].endswith(" left in May. May you rest.") and not got[len(texts) + 2].startswith("Mr. May")
+    with pytest.raises(ValueError):
+        pii.replace(df, "")
