@@ -217,11 +217,18 @@ def parse_quantity(x: Column) -> Column:
     A range gives its middle. Times become hours; concentrations are recognised but not comparable.
     """
     t = F.trim(F.coalesce(x, F.lit("")))
-    ranged = t.rlike(RANGE)
-    get = lambda p, k: F.regexp_extract(t, p, k)
-    lo, hi = F.when(ranged, get(RANGE, 1).try_cast("double")), F.when(ranged, get(RANGE, 2).try_cast("double"))
-    value = F.when(ranged, (lo + hi) / 2).otherwise(get(SINGLE, 1).try_cast("double"))
-    unit = F.nullif(F.when(ranged, get(RANGE, 3)).otherwise(get(SINGLE, 2)), F.lit(""))
+    # each shape is matched once: its groups are what a replacement leaves; a lambda's argument is evaluated once
+    groups = lambda p, n: F.split(F.regexp_replace(t, rf"(?s)^.*?{p}.*$", "\x1f".join(f"${k}" for k in range(1, n + 1)) + "\x1f"), "\x1f")
+    read = F.struct(t.alias("t"), groups(RANGE, 3).alias("r"), groups(SINGLE, 2).alias("s"))
+    return F.get(F.transform(F.array(read), lambda m: _quantity(m["t"], m["r"], m["s"])), F.lit(0))
+
+
+def _quantity(t: Column, r: Column, s: Column) -> Column:
+    ranged = F.size(r) == 4
+    part = lambda a, n, k: F.when(F.size(a) == n, F.get(a, F.lit(k)))
+    lo, hi = part(r, 4, 0).try_cast("double"), part(r, 4, 1).try_cast("double")
+    value = F.when(ranged, (lo + hi) / 2).otherwise(part(s, 3, 0).try_cast("double"))
+    unit = F.nullif(F.when(ranged, part(r, 4, 2)).otherwise(part(s, 3, 1)), F.lit(""))
     u = F.lower(unit)
     hours = F.element_at(F.create_map(*[F.lit(v) for kv in TIME_TO_H.items() for v in kv]), u)
     there = unit.isNotNull() & value.isNotNull()

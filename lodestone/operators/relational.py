@@ -66,8 +66,12 @@ def best_title_match(left: DataFrame, right: DataFrame, *, least: float = 0.40)
 
 
 def covers(cells: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
-    """Headers (h_id, h_row, h_col, h_span) above a cell (row, col) whose columns they span, within equal keys."""
-    return cells.join(headers, keys).where("h_row < row and h_col <= col and col < h_col + h_span")
+    """Headers (h_id, h_row, h_col, h_span) above a cell (row, col) whose columns they span, within equal keys, if there are any.
+
+    A header stands once for each column that it spans, so cells and headers meet by column.
+    """
+    spanned = headers.where("h_span > 0").withColumn("col", F.explode(F.sequence(F.col("h_col"), F.col("h_col") + F.col("h_span") - 1)))
+    return cells.join(spanned, [*keys, "col"]).where("h_row < row")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:

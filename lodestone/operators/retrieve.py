@@ -13,11 +13,14 @@ from lodestone.functions.text import cosine, retrieval_tokens
 def term_stats(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> tuple[DataFrame, Row]:
     """(id, len, tf array) of the documents that have a term, and one row of n, total length and df array.
 
-    Only the query's terms are counted, within the row: no token is ever exploded or shuffled.
+    Only the query's terms are counted, within the row: no token is ever exploded or shuffled. A text is read once: its
+    length and counts are kept for the scores.
     """
     held = F.array(*map(F.lit, terms))
-    own = docs.select(F.col(id_col), retrieval_tokens(F.col(text_col)).alias("t"))
-    own = own.select(id_col, F.size("t").alias("len"), F.transform(held, lambda q: F.size(F.filter("t", lambda x: x == q))).alias("tf"))
+    # one pass leaves the query's tokens, in which each term is counted; a lambda's argument is evaluated once
+    counted = lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(*set(terms))).alias("t"))
+    own = docs.select(F.col(id_col), F.get(F.transform(F.array(retrieval_tokens(F.col(text_col))), counted), F.lit(0)).alias("_c"))
+    own = own.select(id_col, F.col("_c.len").alias("len"), F.get(F.transform(F.array(F.col("_c.t")), lambda t: F.transform(held, lambda q: F.size(F.filter(t, lambda x: x == q)))), F.lit(0)).alias("tf")).persist()
     stats = own.agg(F.count("*").alias("n"), F.sum("len").alias("total"), F.array(*[F.count_if(F.col("tf")[k] > 0) for k in range(len(terms))]).alias("df"))
     return own.where(F.exists("tf", lambda x: x > 0)), stats.first()
 

@@ -101,9 +101,9 @@ def j05(spark, sf_dir):
 
 @query("j06_range_join", "SELECT l_orderkey, l_linenumber, h.h_id FROM lineitem JOIN (VALUES ('low', 0, 0, 3), ('mid', 0, 3, 4), ('all', 0, 0, 11), ('below', 9, 0, 11)) h(h_id, h_row, h_col, h_span) ON h_row < l_linenumber AND h_col <= (l_discount * 100)::INTEGER AND (l_discount * 100)::INTEGER < h_col + h_span")
 def j06(spark, sf_dir):
-    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1).alias("k"), F.col("l_linenumber").alias("row"), F.round(F.col("l_discount") * 100).cast("int").alias("col"))
-    headers = spark.createDataFrame([("low", 0, 0, 3, 1), ("mid", 0, 3, 4, 1), ("all", 0, 0, 11, 1), ("below", 9, 0, 11, 1)], "h_id string, h_row int, h_col int, h_span int, k int")
-    return R.covers(cells, headers, ["k"]).select("l_orderkey", "l_linenumber", "h_id")
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("row"), F.round(F.col("l_discount") * 100).cast("int").alias("col"))
+    headers = spark.createDataFrame([("low", 0, 0, 3), ("mid", 0, 3, 4), ("all", 0, 0, 11), ("below", 9, 0, 11)], "h_id string, h_row int, h_col int, h_span int")
+    return R.covers(cells, headers, []).select("l_orderkey", "l_linenumber", "h_id")
 
 
 @query("j07_reconcile", """SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, concat_ws(';', CASE WHEN a.c_custkey IS NULL THEN 'missing_left' END, CASE WHEN b.c_custkey IS NULL THEN 'missing_right' END,
