@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Quotes that are broadcast; more are joined.
+BROADCAST_QUOTES = 20_000
+
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, t, start): lines with their character offsets, computed within the row."""
@@ -51,3 +54,29 @@ def passage_hits(docs: DataFrame, id_col: str, text_col: str, terms: list[str],
 def routed(title: Column, hints: list[str]) -> Column:
     """A section title has one of the hints."""
     return F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(F.lower(title), F.lower(h)))
+
+
+def grounded_quotes(quotes: DataFrame, docs: DataFrame, *, quote_id: str, quote: str, id_col: str, text_col: str, short: int = 12) -> DataFrame:
+    """P04 for many quotes: (quote_id, id_col) of the texts that hold each quote, blanks collapsed, whatever the case.
+
+    A quote's inner words are whole words of a text that holds it, so a quote and the texts with its longest inner word
+    meet by that word, and only those are compared: one scan of the texts, and words that no quote needs are dropped
+    where they are read (with more than BROADCAST_QUOTES quotes, a shuffle of words and a second scan). Quotes of one or two words have no inner word; they are compared with each text, `short` to an
+    expression. Quotes under eight characters ground nothing. Ids of quotes and of texts are taken as rows have them.
+    """
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")))
+    q = quotes.select(F.col(quote_id).alias("_q"), plain(F.col(quote)).alias("q")).where("length(q) >= 8").withColumn("w", F.split("q", " "))
+    inner = F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2))
+    keyed = q.where(F.size("w") > 2).select("_q", "q", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("key"))
+    own = docs.select(F.col(id_col).alias("_d"), plain(F.col(text_col)).alias("t"))
+    words = lambda *cols: own.select(*cols, F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
+    if keyed.count() <= BROADCAST_QUOTES:
+        found = words("_d", "t").join(F.broadcast(keyed), "key")
+    else:  # words meet quotes without their texts, which are read again for the pairs
+        found = words("_d").join(keyed, "key").select("_q", "q", "_d").distinct().join(own, "_d")
+    found = found.where(F.contains("t", F.col("q"))).select("_q", "_d")
+    few = q.where(F.size("w") <= 2).select("_q", "q").collect()  # curated quotes of one or two words
+    for k in range(0, len(few), short):
+        hits = F.filter(F.array(*[F.when(F.contains("t", F.lit(r["q"])), F.lit(r["_q"])) for r in few[k : k + short]]), lambda x: x.isNotNull())
+        found = found.unionByName(own.select(F.explode(hits).alias("_q"), "_d"))
+    return found.select(F.col("_q").alias(quote_id), F.col("_d").alias(id_col))

@@ -88,17 +88,9 @@ def p01(spark, sf_dir):
 
 @query("p04_grounding", "WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents) SELECT item_id, count(*) AS n FROM b, d WHERE length(q) >= 8 AND contains(t, q) GROUP BY 1")
 def p04(spark, sf_dir):
-    """All items in blocks of twelve against all documents, one expression each: no cross join."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    quotes, out = list(items.toLocalIterator()), items.limit(0).select("item_id", F.lit(0).cast("long").alias("n"))
-    for k in range(0, len(quotes), 12):
-        out = out.unionAll(_grounding(spark, sf_dir, quotes[k : k + 12]))
-    return out
-
-
-def _grounding(spark, sf_dir, quotes):
-    hits = F.filter(F.array(*[F.when(T.grounded(F.lit(q.text), F.col("text")), F.lit(q.item_id)) for q in quotes]), lambda x: x.isNotNull())
-    return docs(spark, sf_dir).select(F.explode(hits).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("n"))
+    """All items against all documents, in one scan of each."""
+    found = segment.grounded_quotes(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir), quote_id="item_id", quote="text", id_col="doc_id", text_col="text")
+    return found.groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("p11_signals", "SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '\\d{3,}') THEN 'digits' END, CASE WHEN regexp_matches(text, '[#$%]{2,}') THEN 'symbols' END, CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)') THEN 'english' END, CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])und(?:[^A-Za-z0-9_]|$)') THEN 'german' END) AS signals, (CASE WHEN regexp_matches(text, '\\d{3,}') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%]{2,}') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9_])und(?:[^A-Za-z0-9_]|$)') THEN 1 ELSE 0 END)::INTEGER AS score FROM documents")
