@@ -21,7 +21,9 @@ def x06(spark, sf_dir):
     return markup.document_text(markup.parts(table(spark, sf_dir, "pages"), "page_id", "html", "html"))
 
 
-@query("f03_slugs")
+@query("f03_slugs", r"""WITH a AS (SELECT doc_id, text, lower(regexp_replace(strip_accents(trim(coalesce(text, ''))), '[^\x00-\x7F]', '', 'g')) AS t FROM documents),
+b AS (SELECT doc_id, text, trim(left(regexp_replace(regexp_replace(regexp_replace(t, '[\s_-]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), 80), '-') AS s FROM a)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN s = '' THEN 'untitled' ELSE s END AS slug, trim(replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), 'ß', 'ss')) AS title FROM b""")
 def f03(spark, sf_dir):
     """F03, F06."""
     return table(spark, sf_dir, "documents").select("doc_id", udf.slugify("text").alias("slug"), udf.normalize_markup_title("text").alias("title"))
@@ -61,14 +63,15 @@ def e06(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", r6(F.col("e.effect")).alias("effect"), r6(F.col("e.variance")).alias("variance"), "e.source")
 
 
-@query("l05_operator_extraction")
+@query("l05_operator_extraction", r"""WITH q AS (SELECT doc_id, trim(regexp_replace(left(coalesce(text, ''), 40), '\s+', ' ', 'g')) AS q FROM documents)
+SELECT doc_id, operator, CASE WHEN length(q) >= 8 THEN 'ok' ELSE 'ungrounded' END AS status, CASE WHEN length(q) >= 8 THEN 'x' END AS value FROM q, (VALUES ('context'), ('dose')) o(operator)""")
 def l05(spark, sf_dir):
     """L01, L05, E01 with a mock that quotes the text's beginning."""
 
     def factory():
         import json
 
-        return model_calls.MockClient(lambda p: "```json\n" + json.dumps({"value": "x", "quote": p.split("\n\n", 2)[2][:40]}) + "\n```")
+        return model_calls.MockClient(lambda p: "```json\n" + json.dumps({"value": "x", "quote": (p.split("\n\n", 2) + [""] * 3)[2][:40]}) + "\n```")
 
     papers = table(spark, sf_dir, "documents").select("doc_id", "text")
     return model_calls.grounded_values(model_calls.call(model_calls.prompts(papers, {"context": "g", "dose": "g"}), factory)).select("doc_id", "operator", "status", "value")
