@@ -21,6 +21,17 @@ def x06(spark, sf_dir):
     return markup.document_text(markup.parts(table(spark, sf_dir, "pages"), "page_id", "html", "html"))
 
 
+@query("x20_author_lists", """SELECT o_custkey::VARCHAR AS doc_id, string_agg(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority || ' ' END || 'Name' || o_orderkey, ';' ORDER BY o_orderkey) AS authors FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")
+def x20(spark, sf_dir):
+    """Articles made of customers' orders: an author each, some without given names, and editors, who are no authors."""
+    kind = F.when(F.col("o_orderstatus") == "F", "editor").otherwise("author")
+    given = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.lit("<given-names> "), "o_orderpriority", F.lit("</given-names>")))
+    one = F.concat(F.lit('<contrib contrib-type="'), kind, F.lit('"><name><surname>Name'), F.col("o_orderkey").cast("string"), F.lit("</surname>"), given, F.lit("</name></contrib>"))
+    xml = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("x")))).alias("x"))
+    docs = xml.select("o_custkey", F.concat(F.lit("<article><front><contrib-group>"), F.array_join("x.x", ""), F.lit("</contrib-group></front></article>")).alias("xml"))
+    return markup.author_lists(markup.parts(docs, "o_custkey", "xml")).select("doc_id", F.array_join("authors", ";").alias("authors"))
+
+
 @query("f03_slugs", r"""WITH a AS (SELECT doc_id, text, lower(regexp_replace(strip_accents(trim(coalesce(text, ''))), '[^\x00-\x7F]', '', 'g')) AS t FROM documents),
 b AS (SELECT doc_id, text, trim(left(regexp_replace(regexp_replace(regexp_replace(t, '[\s_-]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), 80), '-') AS s FROM a)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN s = '' THEN 'untitled' ELSE s END AS slug, trim(replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), 'ß', 'ss')) AS title FROM b""")

@@ -106,6 +106,15 @@ def xml_parts(doc: str, xml: str) -> Iterator[tuple]:
             k += 1
             parts = dict.fromkeys(flat(c) for c in g.iter() if local(c.tag) in ("label", "caption", "head", "figDesc") and flat(c))  # U04: in order, once
             yield _row(doc, "figure", f"F{k}", text=" ".join(parts))
+    named = ([next((flat(x) for x in c.iter() if local(x.tag) == n), "") for n in ("given-names", "surname")] for c in root.iter() if local(c.tag) == "contrib" and c.get("contrib-type") == "author")
+    for k, name in enumerate((" ".join(filter(None, parts)) for parts in named if any(parts)), 1):  # X20
+        yield _row(doc, "author", f"A{k}", text=name)
+
+
+def author_lists(found: DataFrame) -> DataFrame:
+    """doc_id and authors, the names ("given surname") in the document's order; documents without authors give no row."""
+    own = found.where("kind = 'author'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("a"))
+    return own.select("doc_id", F.col("a.text").alias("authors"))
 
 
 class _Html(HTMLParser):
