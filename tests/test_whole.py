@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
+from functools import reduce
+from operator import add
 
 from lodestone import catalog
 
@@ -42,3 +45,17 @@ def test_best_pages_and_slugs_of_whole_texts(spark, tmp_path):
     assert [(r.caption_id, r.page) for r in got if r.caption_id == 5] == ([(5, -scores[0][1])] if clear else [])
     slugs = {r.doc_id: r for r in catalog.QUERIES["f03_slugs"](spark, str(tmp_path)).collect()}
     assert all(len(slugs[i].title) > 200 for i in range(1, 5))
+
+
+def test_votes_of_users_whose_mean_is_the_bound(spark, tmp_path):
+    """Values whose sum as doubles is above or below 50 a value by its last digit, as the order has it."""
+    rows, rnd = [], random.Random(3)
+    for user in range(300):
+        cents = [rnd.randint(0, 9999) for _ in range(12)]
+        cents.append(13 * 5000 - sum(cents))
+        rows += [(user, "click", c / 100) for c in cents]
+    assert len({reduce(add, (v for u, _, v in rows if u == user)) for user in range(300)}) > 1
+    rows += [(300, "click", 50.0), (300, "click", 50.01), (301, "click", 49.99), (301, "click", None), (302, "view", None), (303, "view", float("nan")), (304, "view", 1e300), (305, "view", -1e300)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["component"]: (r["k"], r["helps"], r["hurts"]) for r in catalog.QUERIES["m02_direction_votes"](spark, str(tmp_path)).collect()}
+    assert got == {"click": (302, 1, 1), "view": (4, 2, 1)}
