@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import pointers
 from lodestone.operators import predicates as P
+from lodestone.operators.scratch import written
 from lodestone.plans.registry import query, r6, s6, table
 
 
@@ -115,8 +116,8 @@ s AS (SELECT c.source, c.doc_id AS caption_id, p.doc_id AS page, count(*) / 10 A
 SELECT source AS doc_id, caption_id, page, """ + s6("score") + " AS score FROM r WHERE k = 1 AND score >= 0.59 AND score - nxt >= 0.05")
 def j14(spark, sf_dir):
     """Each document's first ten words by name are a caption; a document of the same source is the page that has them."""
-    t = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)))
-    w = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), t.alias("tokens"))
+    t = F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")))
+    w = written(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), t.alias("tokens")))  # split once
     c = w.where(F.size("tokens") >= 10).select("doc_id", F.col("page").alias("caption_id"), F.slice("tokens", 1, 10).alias("tokens"))
     return pointers.best_page(c, w).withColumn("score", r6(F.col("score")))
 

@@ -7,7 +7,10 @@ import re
 from functools import reduce
 from operator import add
 
+from pyspark.sql import functions as F
+
 from lodestone import catalog
+from lodestone.operators import pointers
 
 
 def test_titles_of_all_parts(spark, tmp_path):
@@ -59,3 +62,45 @@ def test_votes_of_users_whose_mean_is_the_bound(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["component"]: (r["k"], r["helps"], r["hurts"]) for r in catalog.QUERIES["m02_direction_votes"](spark, str(tmp_path)).collect()}
     assert got == {"click": (302, 1, 1), "view": (4, 2, 1)}
+
+
+def test_best_pages_against_all_pairs(spark):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    pick = lambda n: [words[min(int(rnd.expovariate(0.12)), 39)] for _ in range(n)]
+    pages = [(f"d{k % 3}", k, pick(rnd.choice((0, 3, 30, 60)))) for k in range(90)] + [(None, 90, words), ("d0", 91, None), ("d1", 92, [None, *words[:30]])]
+    captions = [(f"d{k % 4}", k, pick(rnd.choice((0, 4, 10, 45)))) for k in range(160)] + [(d, 200 + k, p[:9]) for k, (d, _, p) in enumerate(pages) if p] + [("d1", 400, [None, "w1", "w2", "w3"]), ("d0", 401, None)]
+    kind = "doc_id string, {} long, tokens array<string>"
+    c, p = spark.createDataFrame(captions, kind.format("caption_id")), spark.createDataFrame(pages, kind.format("page"))
+    for least, margin in ((0.59, 0.05), (0.3, 0.2), (0.9, 0.0)):
+        want = set()
+        for d, i, t in captions:
+            scores = sorted(((-len(set(t) & set(x) - {None}) / len(set(t)), page) for e, page, x in pages if d and d == e and t and x), key=lambda x: x)
+            scores = [x for x in scores if x[0] < 0] + [(0.0, None)]
+            if -scores[0][0] >= least and (len(scores) < 2 or -scores[0][0] + scores[1][0] >= margin):
+                want.add((d, i, scores[0][1], round(-scores[0][0], 6)))
+        got = pointers.best_page(c, p, least=least, margin=margin).collect()
+        assert len(got) == len(want) > 2 and {(r.doc_id, r.caption_id, r.page, round(r.score, 6)) for r in got} == want
+
+
+def test_best_pages_meet_by_rare_tokens(spark):
+    """Words that all pages have make no pairs: of 300 captions and 300 pages only those that may belong together meet."""
+    pages = [("d", k, [f"common{i}" for i in range(9)] + [f"own{k}"]) for k in range(300)]
+    rows = spark.createDataFrame(pages, "doc_id string, page long, tokens array<string>")
+    out = pointers.best_page(rows.withColumnRenamed("page", "caption_id"), rows)
+    assert {(r.caption_id, r.page) for r in out.collect()} == {(k, k) for k in range(300)}
+    made = []
+    plain = pointers.written
+
+    def counted(df):
+        done = plain(df)
+        if "times" in done.columns:
+            made.append(done.agg(F.sum("times")).first()[0])
+        return done
+
+    pointers.written = counted
+    try:
+        pointers.best_page(rows.withColumnRenamed("page", "caption_id"), rows)
+    finally:
+        pointers.written = plain
+    assert made == [300]
