@@ -2,8 +2,8 @@
 
 A probe asks for every batch of items `repeats` times. Each answer is stored in the log the moment it is there, one
 small object a request under its own name, staged and then moved, so that a reader never sees half of one. A request
-that the log holds is never made again: not by a rerun after a crash, nor by a retried task. compact() turns a log of
-many objects into one table.
+that the log holds is never made again: not by a rerun after a crash, nor by a retried task. A wave that is done moves
+into a table, so the log has few objects however long it grows; compact() does so with what a crash left.
 
 Budgets hold over all tasks together. Requests go out in waves; a wave has at most as many as the request budget has
 left, and as the token budget could pay for if each used all it may. No request begins after the deadline. (Speculative
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.model_calls import complete
 from lodestone.operators.ranks import ranked
+from lodestone.operators.scratch import free, run_and_clean, written
 from lodestone.session import prepare
 
 RECORD = "input_hash string, repeat int, batch long, item_ids array<string>, answer string, status string, prompt_tokens long, completion_tokens long, seconds double"
@@ -99,6 +100,8 @@ def compact(spark: SparkSession, at: str) -> None:
     if store.get_file_info(f"{path}/done").type != fs.FileType.Directory:
         return
     names = [x.path for x in store.get_file_info(fs.FileSelector(f"{path}/done")) if x.base_name.endswith(".json")]
+    if not names:
+        return
     spark.read.schema(RECORD).json(f"{at}/done").write.mode("append").parquet(f"{at}/table")
     for x in names:
         store.delete_file(x)
@@ -144,6 +147,8 @@ def run(wanted: DataFrame, factory: Callable[[], object], at: str, budget: Budge
 
     Raises BudgetExceeded before a request would pass a budget. More requests than the budget has are refused at once.
     """
+    from pyarrow import fs
+
     spark = prepare(wanted.sparkSession)
     deadline = time.time() + budget.seconds
     store, path = _objects(at)
@@ -154,22 +159,40 @@ def run(wanted: DataFrame, factory: Callable[[], object], at: str, budget: Budge
         raise BudgetExceeded(f"{total} requests, {budget.requests} allowed")
     if total * budget.request_tokens > budget.tokens:
         raise BudgetExceeded("the requests could use more tokens than allowed")
+    compact(spark, at)  # what a run that ended early left
     seen = {"requests": 0, "calls": 0, "tokens": 0}
-    while True:
-        own = log(spark, at).join(wanted.select(KEY), KEY, "left_semi")
-        done = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("tokens")).first()
-        if done["n"] >= total:
-            return seen | {"logged": done["n"], "logged_tokens": done["tokens"]}
-        room = min(budget.wave, budget.requests - done["n"], (budget.tokens - done["tokens"]) // budget.request_tokens)
-        if room <= 0 or time.time() > deadline:
-            raise BudgetExceeded(f"{done['n']} of {total} requests done, {done['tokens']} tokens used")
-        wave = wanted.join(own.select(KEY), KEY, "left_anti").orderBy("repeat", "batch").limit(int(room))
-        watch = Observation()
-        asked = wave.repartition(min(tasks, int(room)), "repeat", "batch").mapInPandas(_asked(at, factory, deadline, tries), RECORD + ", source string")
-        asked.observe(watch, F.count("*").alias("requests"), F.coalesce(F.sum((F.col("source") == "call").cast("long")), F.lit(0)).alias("calls"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("tokens")).write.format("noop").mode("overwrite").save()
-        got = watch.get
-        for k in seen:
-            seen[k] += got[k]
+    totals = F.count("*").alias("n"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("tokens")
+    own = log(spark, at).join(wanted.select(KEY), KEY, "left_semi")
+    first = own.agg(*totals).first()
+    done, tokens = first["n"], first["tokens"]
+    if done >= total:
+        return seen | {"logged": done, "logged_tokens": tokens}
+    # what is left is numbered and written once, each file by number: a wave reads its own numbers alone
+    keys = ranked(wanted.select(KEY).join(own.select(KEY), KEY, "left_anti"), ["repeat", "batch"], "_w")
+    left, begin, n_left = written(wanted.join(keys, KEY).sortWithinPartitions("_w")), 0, total - done
+    try:
+        while done < total:
+            room = int(min(budget.wave, budget.requests - done, (budget.tokens - tokens) // budget.request_tokens))
+            if room <= 0 or time.time() > deadline:
+                raise BudgetExceeded(f"{done} of {total} requests done, {tokens} tokens used")
+            wave, watch = left.where((F.col("_w") >= begin) & (F.col("_w") < begin + room)).drop("_w"), Observation()
+            asked = wave.coalesce(tasks).repartition(min(tasks, room), "repeat", "batch").mapInPandas(_asked(at, factory, deadline, tries), RECORD + ", source string")
+            seen_now = F.count("*").alias("requests"), F.coalesce(F.sum((F.col("source") == "call").cast("long")), F.lit(0)).alias("calls"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("tokens")
+            watched = asked.observe(watch, *seen_now).drop("source")
+            run_and_clean(spark, lambda held=watched: held.write.mode("append").parquet(f"{at}/table"))
+            stale = [f"{path}/done/{_name(r)}" for r in wave.select(KEY).collect()]  # these alone: a task of an earlier run may still store others
+            for x in store.get_file_info(stale) if watch.get["requests"] == len(stale) else ():
+                if x.type == fs.FileType.File:
+                    store.delete_file(x.path)  # the table has it
+            for k in seen:
+                seen[k] += watch.get[k]
+            done, tokens, begin = done + watch.get["requests"], tokens + watch.get["tokens"], begin + room
+            if watch.get["requests"] < min(room, n_left - begin + room):
+                raise BudgetExceeded(f"{done} of {total} requests done, {tokens} tokens used")
+    finally:
+        free(left)
+    held = log(spark, at).join(wanted.select(KEY), KEY, "left_semi").agg(*totals).first()
+    return seen | {"logged": held["n"], "logged_tokens": held["tokens"]}
 
 
 def reconcile(observed: dict, held: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def probe(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("positive"))
     items = docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("snippet"), "doc_id").join(labels, "doc_id", "left").drop("doc_id").fillna(False, ["positive"])
     text = F.to_json(F.struct(F.col("repeat"), F.col("items")))
-    wanted = P.requests(items, size=SIZE, repeats=REPEATS, prompt=lambda _: F.concat(F.lit("Name the items with numbers.\n"), text), model="mock", version="1").cache()
+    wanted = P.requests(items, size=SIZE, repeats=REPEATS, prompt=lambda _: F.concat(F.lit("Name the items with numbers.\n"), text), model="mock", version="1")
     at, n = stored(spark), wanted.count()
     budget = P.Budget(requests=n, tokens=n * 3 * SIZE, seconds=3600, request_tokens=2 * SIZE)
     P.run(wanted.where("repeat = 1"), client, at, budget)
@@ -69,7 +69,7 @@ def l14(spark, sf_dir):
     """What the tasks of all waves observed, against the log; the first run's part was logged before the second one began."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("snippet"))
     text = F.to_json(F.struct(F.col("repeat"), F.col("items")))
-    wanted = P.requests(docs, size=SIZE, repeats=REPEATS, prompt=lambda _: F.concat(F.lit("Name the items with numbers.\n"), text), model="mock", version="1").cache()
+    wanted = P.requests(docs, size=SIZE, repeats=REPEATS, prompt=lambda _: F.concat(F.lit("Name the items with numbers.\n"), text), model="mock", version="1")
     at, n = stored(spark), wanted.count()
     seen = P.run(wanted, client, at, P.Budget(requests=n, tokens=n * 3 * SIZE, seconds=3600, request_tokens=2 * SIZE, wave=32))
     return P.reconcile(seen, P.log(spark, at))

@@ -98,6 +98,20 @@ def test_budgets_hold(spark, items, tmp_path):
     assert len((tmp_path / "calls").read_text().split()) * 11 <= 100 + 4 * (11 - 5)
 
 
+def test_a_wave_reads_neither_the_log_nor_other_waves(spark, items, tmp_path, monkeypatch):
+    """The log is read as often for many waves as for one, and keeps no object of a wave that is done."""
+    reads, plain = [], P.log
+    monkeypatch.setattr(P, "log", lambda *a: reads.append(1) or plain(*a))
+    counts = []
+    for wave in (20, 3):
+        at, before = f"file://{tmp_path}/log{wave}", len(reads)
+        seen = P.run(wanted(items), metered(str(tmp_path)), at, P.Budget(20, 220, 600, 11, wave=wave), tasks=2)
+        counts.append(len(reads) - before)
+        assert seen == {"requests": 20, "calls": 20, "tokens": 220, "logged": 20, "logged_tokens": 220}
+        assert os.listdir(f"{tmp_path}/log{wave}/done") == [] and plain(spark, at).count() == 20
+    assert counts[0] == counts[1]
+
+
 def test_changed_input_is_another_probe(spark, items):
     name = lambda df, **kw: wanted(df, **kw).first()["input_hash"]
     base = name(items)
