@@ -47,7 +47,9 @@ def _may_have(df: DataFrame, table: DataFrame, *key: str) -> DataFrame:
 
 def words_of(line: Column) -> Column:
     """The words of a line in lower case; a line without any has one empty word."""
-    return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    text = F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
+    # a split by one plain character needs no pattern, which would be compiled again for each line
+    return F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.split(text, " "))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,7 +78,8 @@ def _variants(lines: DataFrame) -> DataFrame:
     """
     h = _half(F.size("w") - 1)
     each = lines.select("at", "w", F.explode(F.concat(F.array(F.lit(0)), F.sequence(F.when(F.col("last"), 1).otherwise(h + 1), F.when(F.col("first"), F.size("w")).otherwise(F.size("w") - h)))).alias("i"))
-    shorter = F.xxhash64(F.when(F.col("i") == 0, F.col("w")).otherwise(F.concat(F.slice("w", 1, F.col("i") - 1), F.slice("w", F.col("i") + 1, F.size("w")))))
+    # the hash of two arrays is that of all their words in turn, so they needn't be put together
+    shorter = F.when(F.col("i") == 0, F.xxhash64("w")).otherwise(F.xxhash64(F.slice("w", 1, F.col("i") - 1), F.slice("w", F.col("i") + 1, F.size("w"))))
     each = each.select("at", "i", shorter.alias("v"))
     kinds = F.when(F.col("i") == 0, F.array(F.struct(F.lit("f").alias("kind"), F.col("v").alias("key")))).otherwise(
         F.array(F.struct(F.lit("d").alias("kind"), F.col("v").alias("key")), F.struct(F.lit("s").alias("kind"), F.xxhash64("v", "i").alias("key")))

@@ -15,8 +15,9 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lodestone.llm import filters, sentencepieces, variants
+from lodestone.llm import filters, linededup, sentencepieces, variants
 from lodestone.llm.queries import ORACLES, QUERIES
 from tests.llm.test_operators import EXTRA, LOW, made
 from tests.oracle import compare
@@ -226,3 +227,16 @@ def test_registered_queries(spark):
         ids = library.encode(t or "")
         want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
     assert {r[0]: tuple(r)[1:] for r in QUERIES["op11_sentencepieces"](spark, sf).collect()} == want
+
+
+def test_line_dedup_words_and_variants_of_odd_lines(spark):
+    lines = ["", " ", "a", " A  b\tc ", "a\x0b\x0cb", "\u00a0x y", "One two three four five", "\u0130 \u00c9 z", "x\ry", "a" + " b" * 9 + "  c", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "at long, t string").withColumn("w", linededup.words_of(F.col("t")))
+    plain = F.split(F.btrim(F.lower("t"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    assert df.where(~F.col("w").eqNullSafe(plain)).count() == 0
+    # a variant's key is the hash of the words that are left, which another line may have as its own
+    words = [f"w{k}" for k in range(9)]
+    own = spark.createDataFrame([(0, words, True, True)] + [(k, words[: k - 1] + words[k:], True, True) for k in range(1, 10)], "at long, w array<string>, first boolean, last boolean")
+    keys = linededup._variants(own).where("kind <> 's'").collect()
+    whole = {r["key"] for r in keys if r["kind"] == "f" and r["at"] > 0}
+    assert {r["key"] for r in keys if r["kind"] == "d" and r["at"] == 0} == whole and len(whole) == 9
