@@ -35,6 +35,71 @@ def test_two_places_as_near(spark):
     assert anchors.resolve(old.limit(0), new).collect() == []
 
 
+def found_plainly(old, new, reach=2):
+    """What resolve should say, each anchor against every window of its record."""
+    grams = lambda t: {tuple(w[i : i + 3]) for w in [t.split()] for i in range(max(1, len(w) - 2))}
+    out = {}
+    for k, r, p, b, t in old:
+        own = sorted(x[1:] for x in new if x[0] == r)
+        same = sorted((abs(q - p), abs(c - b), q, c) for q, c, u in own if u == t)
+        if same:
+            tied = len(same) > 1 and same[0][:2] == same[1][:2]
+            out[k] = ("unmoved", p, b, 1) if same[0][:2] == (0, 0) else ("ambiguous", None, None, None) if tied else ("moved", *same[0][2:], 1)
+            continue
+        spans = [(q, c, 1, u) for q, c, u in own] + [(q, c, 2, u + " " + v) for (q, c, u), (q2, _, v) in itertools.pairwise(own) if q == q2]
+        scores = sorted((-2 * len(grams(t) & grams(u)) / (len(grams(t)) + len(grams(u))), n, q, c) for q, c, n, u in spans if abs(q - p) <= reach)
+        if not scores or scores[0][0] > -0.5:
+            out[k] = ("deleted", None, None, None)
+            continue
+        score, n, q, c = scores[0]
+        second = min((s for s, m, q2, c2 in scores if q2 != q or c2 + m <= c or c + n <= c2), default=0)
+        out[k] = ("edited", q, c, n) if second - score >= 0.1 - 1e-9 else ("ambiguous", None, None, None)
+    return out
+
+
+def test_blocks_of_many_pages(spark):
+    rnd = random.Random(3)
+    text = lambda: " ".join(rnd.choice("ab") + str(rnd.randint(0, 2)) for _ in range(rnd.choice((1, 2, 3, 6, 9))))
+    old = [(100 * p + 10 * b + r, f"r{r}", p, b, text()) for r in range(2) for p in range(-12, 45) for b in range(3)]
+    new = []
+    for _, r, p, b, t in old:
+        w = t.split()
+        change = rnd.randint(0, 6)
+        if change == 1:
+            new.append((r, p, b, " ".join([*w[:-1], "z"])))
+        elif change == 2:
+            new += [(r, p, b, " ".join(w[: len(w) // 2]) or "y"), (r, p, b + 3, " ".join(w[len(w) // 2 :]))]
+        elif change:
+            new.append((r, p + (change == 3) * rnd.randint(-3, 3), b + 10 * (change == 3), t))
+    df = spark.createDataFrame(old, "anchor_id long, record_id string, page long, block long, text string")
+    rows = anchors.resolve(df, spark.createDataFrame(new, "record_id string, page long, block long, text string")).collect()
+    got = {r["anchor_id"]: (r["status"], r["page"], r["block"], r["span"]) for r in rows}
+    assert len(rows) == len(old) and got == found_plainly(old, new)
+    assert {x[0] for x in got.values()} == {"unmoved", "moved", "edited", "ambiguous", "deleted"}
+
+
+def test_blocks_are_not_multiplied(spark):
+    """Shingles of every window were exchanged for each page in reach: 32 times these texts."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sum(sc.statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(sc.statusStore().executorList(False).size()))
+
+    rnd = random.Random(8)
+    old = [(k, f"r{k // 40}", k % 40 // 8, k % 8, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(40))) for k in range(2000)]
+    new = [(*r[1:4], r[4] + " end") for r in old]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    was = shuffled()
+    df = spark.createDataFrame(old, "anchor_id long, record_id string, page long, block long, text string")
+    try:
+        got = anchors.resolve(df, spark.createDataFrame(new, "record_id string, page long, block long, text string")).groupBy("status").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(r) for r in got} == {("edited", 2000)}
+    assert shuffled() - was < 4 * sum(len(r[4]) for r in old)
+
+
 def test_recommendations(spark):
     passages = spark.createDataFrame([("g", f"p{k}", f"serum and glucose {k}" if k % 2 else "serum alone", float(k % 3)) for k in range(6)] + [("h", "q", "nothing", 1.0)], "goal string, paper_id string, snippet string, score double")
     variables = spark.createDataFrame([("serum", "serum"), ("sugar", "glucose"), ("sugar", "dextrose")], "variable string, term string")
