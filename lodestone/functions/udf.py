@@ -50,5 +50,6 @@ def short_number(x: pd.Series) -> pd.Series:
 @pandas_udf(StructType([StructField("effect", DoubleType()), StructField("variance", DoubleType()), StructField("source", StringType())]))
 def infer_effect(quote: pd.Series, direction: pd.Series, component: pd.Series) -> pd.DataFrame:
     """A fold, else a percentage, else group statistics, else plain means, as a log response ratio."""
-    out = [effects.infer(q or "", None if d is None or d != d else int(d), c or "") for q, d, c in zip(quote, direction, component, strict=True)]
-    return pd.DataFrame(out, columns=["effect", "variance", "source"]).astype({"effect": float, "variance": float})
+    out = [effects.infer_again(q or "", None if d is None or d != d else int(d), c or "") for q, d, c in zip(quote, direction, component, strict=True)]
+    effect, variance, source = zip(*out, strict=True) if out else ((), (), ())
+    return pd.DataFrame({"effect": pd.Series(effect, dtype=float), "variance": pd.Series(variance, dtype=float), "source": pd.Series(source, dtype=object)})

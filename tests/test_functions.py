@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import effects, udf
 from lodestone.functions import text as T
-from lodestone.functions import udf
 from lodestone.operators import design, gates, meta, model_calls, normalize
 from lodestone.operators import relational as R
 from lodestone.sources import bibtex, markup, sinks, tables
@@ -106,6 +109,31 @@ def test_group_statistics_by_mean(spark):
     assert e.source == "treatment_control_mean_sd_n" and math.isclose(e.variance, 0.16 / 16 + 0.09 / 6)
 
 
+def test_labels_are_those_of_one_pattern():
+    """The shape first and its label after it, against label and shape in one pattern."""
+    one = re.compile(r"(?P<label>[^.;,]{0,80}?)" + effects.GROUP_STATS.pattern, re.I)
+    other = re.compile(r"(?P<label>[^.;,()]{0,80}?)" + effects.PLUS_MINUS_STATS.pattern, re.I)
+    parts = ["treated cells ", "control ", "mean ", "meanmean ", "mean= ", "1", "12.5", " SD ", " 3 n 5", "n=6", ",", ";", ".", ":", "(", ")", " ", "±", "+/-", "q" * 79, "q" * 80, "q" * 81, "word " * 12, "²", "_", " mean 2 SD 1 n 4", " mean 3, SEM 0.2, n=6", " 2 ± 1 (SD, n = 7)", ": 4 +/- 1 (sem; n = 8"]
+    rnd, met = random.Random(2), [0, 0]
+    for _ in range(4000):
+        low = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))).lower()
+        for k, (pattern, found) in enumerate(((one, effects.stated), (other, effects.stated_plus_minus))):
+            want = [(m["label"], m["mean"], m.end()) for m in pattern.finditer(low)]
+            assert [(label, m["mean"], m.end()) for label, m in found(low)] == want, low
+            met[k] += len(want)
+    assert min(met) > 500
+
+
+def test_equal_quotes_are_read_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(effects, "fold", lambda low, *a: asked.append(low))
+    quotes = ["treated: 2 ± 1 (SD, n = 7); control: 4 ± 1 (SD, n = 8)", "nothing here", None, "long " * 50] * 100
+    got = udf.infer_effect.func(pd.Series(quotes), pd.Series([1] * 400), pd.Series(["once"] * 400))
+    assert sorted(asked, key=len)[:3] == sorted(["", "nothing here", quotes[0].lower()], key=len) and len(asked) == 103  # long quotes aren't kept
+    assert got["effect"].count() == 100 and math.isclose(got["effect"][0], math.log(0.5)) and got["source"].isna().sum() == 300
+    assert udf.infer_effect.func(pd.Series([], dtype=object), pd.Series([], dtype=int), pd.Series([], dtype=object)).shape == (0, 3)
+
+
 def test_ontology(spark):
     lookup = normalize.ontology(spark, [{"canonical": "FGF2", "aliases": ["bFGF"], "category": "gf"}, {"canonical": "Other", "aliases": ["bfgf"]}])
     df = spark.createDataFrame([("bFGF",), ("5 ng/mL bFGF",), ("fgf2",), ("unknown (x)",), ("",), (None,)], "name string")
