@@ -2,8 +2,9 @@
 
 A probe asks for every batch of items `repeats` times. Each answer is stored in the log the moment it is there, one
 small object a request under its own name, staged and then moved, so that a reader never sees half of one. A request
-that the log holds is never made again: not by a rerun after a crash, nor by a retried task. A wave that is done moves
-into a table, so the log has few objects however long it grows; compact() does so with what a crash left.
+that the log holds is never made again: not by a rerun after a crash, nor by a retried task. Waves that are done
+move into a table, some LEG requests at a time, so the log has few objects however long it grows; compact() does so with
+what a crash left.
 
 Budgets hold over all tasks together. Requests go out in waves; a wave has at most as many as the request budget has
 left, and as the token budget could pay for if each used all it may. No request begins after the deadline. (Speculative
@@ -14,11 +15,11 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.model_calls import complete
@@ -30,6 +31,8 @@ RECORD = "input_hash string, repeat int, batch long, item_ids array<string>, ans
 KEY = ["input_hash", "repeat", "batch"]
 #: The gates of a probe.
 LEAST_RECALL = LEAST_CONSISTENCY = 0.95
+#: Answers move into the table once so many requests are done: a leg of waves.
+LEG = 2048
 
 
 class BudgetExceeded(RuntimeError):
@@ -107,37 +110,51 @@ def compact(spark: SparkSession, at: str) -> None:
         store.delete_file(x)
 
 
+def _answered(rows: Iterable[dict], at: str, factory: Callable[[], object], deadline: float, tries: int) -> Iterator[dict]:
+    """A task's requests: each is looked up in the log, else made and stored before the next one; after the deadline none is made."""
+    from pyarrow import fs
+
+    store, path = _objects(at)
+    client = factory()
+    for r in rows:
+        held = f"{path}/done/{_name(r)}"
+        if store.get_file_info(held).type == fs.FileType.File:
+            with store.open_input_stream(held) as s:
+                yield json.loads(s.read()) | {"source": "log"}
+            continue
+        began = time.time()
+        if began > deadline:
+            continue
+        answer, status = complete(client, r["prompt"], tries)
+        used = getattr(client, "usage", None) or {}
+        done = {k: r[k] for k in KEY} | {
+            "item_ids": list(r["item_ids"]), "answer": answer, "status": status, "prompt_tokens": int(used.get("prompt_tokens", 0)),
+            "completion_tokens": int(used.get("completion_tokens", 0)), "seconds": time.time() - began,
+        }
+        staged = f"{path}/staged/{_name(r)}.{time.time_ns()}"
+        with store.open_output_stream(staged) as s:
+            s.write(json.dumps(done).encode())
+        store.move(staged, held)
+        yield done | {"source": "call"}
+
+
 def _asked(at: str, factory: Callable[[], object], deadline: float, tries: int):
-    """A task's part of a wave: each request is looked up in the log, else made and stored before the next one."""
+    """The answers of frames of requests as frames."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, path = _objects(at)
-        client = factory()
         for f in frames:
-            out = []
-            for r in f.to_dict("records"):
-                held = f"{path}/done/{_name(r)}"
-                if store.get_file_info(held).type == fs.FileType.File:
-                    with store.open_input_stream(held) as s:
-                        out.append(json.loads(s.read()) | {"source": "log"})
-                    continue
-                began = time.time()
-                if began > deadline:
-                    continue
-                answer, status = complete(client, r["prompt"], tries)
-                used = getattr(client, "usage", None) or {}
-                done = {k: r[k] for k in KEY} | {
-                    "item_ids": list(r["item_ids"]), "answer": answer, "status": status, "prompt_tokens": int(used.get("prompt_tokens", 0)),
-                    "completion_tokens": int(used.get("completion_tokens", 0)), "seconds": time.time() - began,
-                }
-                staged = f"{path}/staged/{_name(r)}.{time.time_ns()}"
-                with store.open_output_stream(staged) as s:
-                    s.write(json.dumps(done).encode())
-                store.move(staged, held)
-                out.append(done | {"source": "call"})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")] + ["source"])
+            yield pd.DataFrame(_answered(f.to_dict("records"), at, factory, deadline, tries), columns=[c.split()[0] for c in RECORD.split(", ")] + ["source"])
+
+    return run
+
+
+def _observed(at: str, factory: Callable[[], object], deadline: float, tries: int, begin: int, end: int):
+    """What a task's part of a wave, the requests numbered from begin to end, came to: requests, calls and tokens."""
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[int, int, int]]:
+        own = (r.asDict() for r in rows if begin <= r["_w"] < end)
+        for x in _answered(own, at, factory, deadline, tries):
+            yield 1, int(x["source"] == "call"), x["prompt_tokens"] + x["completion_tokens"]
 
     return run
 
@@ -147,8 +164,6 @@ def run(wanted: DataFrame, factory: Callable[[], object], at: str, budget: Budge
 
     Raises BudgetExceeded before a request would pass a budget. More requests than the budget has are refused at once.
     """
-    from pyarrow import fs
-
     spark = prepare(wanted.sparkSession)
     deadline = time.time() + budget.seconds
     store, path = _objects(at)
@@ -167,34 +182,58 @@ def run(wanted: DataFrame, factory: Callable[[], object], at: str, budget: Budge
     done, tokens = first["n"], first["tokens"]
     if done >= total:
         return seen | {"logged": done, "logged_tokens": tokens}
-    # what is left is numbered and written once, each file by number: a wave reads its own numbers alone
-    keys = ranked(wanted.select(KEY).join(own.select(KEY), KEY, "left_anti"), ["repeat", "batch"], "_w")
-    left, begin, n_left = written(wanted.join(keys, KEY).sortWithinPartitions("_w")), 0, total - done
+    # what is left is numbered, and exchanged once by wave and task: a wave is one job over its own partitions alone
+    keys = written(ranked(wanted.select(KEY).join(own.select(KEY), KEY, "left_anti"), ["repeat", "batch"], "_w"))
+    share, begin, n_left = min(tasks, budget.wave), 0, total - done
     try:
-        while done < total:
-            room = int(min(budget.wave, budget.requests - done, (budget.tokens - tokens) // budget.request_tokens))
+        place = F.floor(F.col("_w") / budget.wave) * share + F.col("_w") % share
+        parts = wanted.join(keys, KEY).repartitionById(-(-n_left // budget.wave) * share, place.cast("int")).rdd
+        moved, whole = 0, True
+        while begin < n_left and whole:
+            k = begin // budget.wave
+            room = int(min((k + 1) * budget.wave - begin, n_left - begin, budget.requests - done, (budget.tokens - tokens) // budget.request_tokens))
             if room <= 0 or time.time() > deadline:
-                raise BudgetExceeded(f"{done} of {total} requests done, {tokens} tokens used")
-            wave, watch = left.where((F.col("_w") >= begin) & (F.col("_w") < begin + room)).drop("_w"), Observation()
-            asked = wave.coalesce(tasks).repartition(min(tasks, room), "repeat", "batch").mapInPandas(_asked(at, factory, deadline, tries), RECORD + ", source string")
-            seen_now = F.count("*").alias("requests"), F.coalesce(F.sum((F.col("source") == "call").cast("long")), F.lit(0)).alias("calls"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("tokens")
-            watched = asked.observe(watch, *seen_now).drop("source")
-            run_and_clean(spark, lambda held=watched: held.write.mode("append").parquet(f"{at}/table"))
-            stale = [f"{path}/done/{_name(r)}" for r in wave.select(KEY).collect()]  # these alone: a task of an earlier run may still store others
-            for x in store.get_file_info(stale) if watch.get["requests"] == len(stale) else ():
-                if x.type == fs.FileType.File:
-                    store.delete_file(x.path)  # the table has it
-            for k in seen:
-                seen[k] += watch.get[k]
-            done, tokens, begin = done + watch.get["requests"], tokens + watch.get["tokens"], begin + room
-            if watch.get["requests"] < min(room, n_left - begin + room):
-                raise BudgetExceeded(f"{done} of {total} requests done, {tokens} tokens used")
+                break
+            asked = parts.mapPartitions(_observed(at, factory, deadline, tries, begin, begin + room))
+            got = spark.sparkContext.runJob(asked, _added, range(k * share, (k + 1) * share))
+            wave = dict(zip(seen, map(sum, zip(*got, strict=True)), strict=True))
+            seen = {m: seen[m] + wave[m] for m in seen}
+            done, tokens, begin, whole = done + wave["requests"], tokens + wave["tokens"], begin + room, wave["requests"] == room
+            if begin - moved >= LEG:
+                _moved(keys.where((F.col("_w") >= moved) & (F.col("_w") < begin)), at, tries)
+                moved = begin
+        if begin > moved:
+            _moved(keys.where((F.col("_w") >= moved) & (F.col("_w") < begin)), at, tries)
+        if begin < n_left or not whole:
+            raise BudgetExceeded(f"{done} of {total} requests done, {tokens} tokens used")
     finally:
-        free(left)
+        free(keys)
     held = log(spark, at).join(wanted.select(KEY), KEY, "left_semi").agg(*totals).first()
     return seen | {"logged": held["n"], "logged_tokens": held["tokens"]}
 
 
+def _added(counts: Iterator[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """A task's counts as one row."""
+    total = [0, 0, 0]
+    for x in counts:
+        total = [a + b for a, b in zip(total, x, strict=True)]
+    return [tuple(total)]
+
+
+def _moved(asked: DataFrame, at: str, tries: int) -> None:
+    """Move the answers of these requests from the log's objects into its table; objects go only once the table has all of them."""
+    from pyarrow import fs
+
+    store, path = _objects(at)
+    watch = Observation()
+    held = asked.select(KEY).repartition(8).mapInPandas(_asked(at, object, 0.0, tries), RECORD + ", source string").observe(watch, F.count("*").alias("n")).drop("source")
+    run_and_clean(asked.sparkSession, lambda: held.write.mode("append").parquet(f"{at}/table"))
+    stale = [f"{path}/done/{_name(r)}" for r in asked.select(KEY).collect()]  # these alone: a task of an earlier run may still store others
+    for x in store.get_file_info(stale) if watch.get["n"] == len(stale) else ():
+        if x.type == fs.FileType.File:
+            store.delete_file(x.path)
+
+
 def reconcile(observed: dict, held: DataFrame) -> DataFrame:
     """What the tasks observed against the log, one row a measure. Answers that a retried task took from the log count in both."""
     totals = held.agg(F.count("*").alias("requests"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("tokens"))

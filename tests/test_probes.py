@@ -112,6 +112,28 @@ def test_a_wave_reads_neither_the_log_nor_other_waves(spark, items, tmp_path, mo
     assert counts[0] == counts[1]
 
 
+def test_a_wave_is_one_job(spark, items, tmp_path, monkeypatch):
+    """Nineteen more waves are nineteen more jobs, and no table is planned, exchanged or written for one of them alone."""
+    jobs, own = [], wanted(items)
+    for wave in (20, 1):
+        spark.sparkContext.setJobGroup(f"wave{wave}", "a probe")
+        P.run(own, metered(str(tmp_path)), f"file://{tmp_path}/log{wave}", P.Budget(20, 220, 600, 11, wave=wave), tasks=2)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"wave{wave}")))
+    spark.sparkContext.setJobGroup("other", "")
+    assert 0 <= jobs[1] - jobs[0] <= 19 + 4
+    # legs of four and three requests: all answers are in the table, each once, and a budget that ends within a leg keeps what was done
+    monkeypatch.setattr(P, "LEG", 4)
+    for wave in (2, 3, 7):
+        at = f"file://{tmp_path}/leg{wave}"
+        with pytest.raises(P.BudgetExceeded):
+            P.run(own, metered(str(tmp_path)), at, P.Budget(20, 130, 600, 6, wave=wave), tasks=2)
+        first = P.log(spark, at).count()
+        assert 130 - 6 <= first * 11 <= 130 + wave * (11 - 6) and os.listdir(f"{tmp_path}/leg{wave}/done") == []
+        seen = P.run(own, metered(str(tmp_path)), at, P.Budget(20, 1000, 600, 11, wave=wave), tasks=2)
+        assert seen == {"requests": 20 - first, "calls": 20 - first, "tokens": 11 * (20 - first), "logged": 20, "logged_tokens": 220}
+        assert os.listdir(f"{tmp_path}/leg{wave}/done") == [] and spark.read.parquet(f"{at}/table").count() == 20
+
+
 def test_changed_input_is_another_probe(spark, items):
     name = lambda df, **kw: wanted(df, **kw).first()["input_hash"]
     base = name(items)
