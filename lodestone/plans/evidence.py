@@ -75,9 +75,9 @@ c AS (SELECT component, count(*) FILTER (s > 0) AS h, count(*) FILTER (s < 0) AS
 SELECT component, k, h AS helps, u AS hurts, """ + s6("(1.0 + h) / (2.0 + h + u)") + """ AS p_beneficial, h + u >= 3 AND least(h, u)::DOUBLE / (h + u) >= 0.3 AS conflict FROM c""")
 def m02(spark, sf_dir):
     """Direction votes of users on event types."""
-    value = F.col("value").try_cast("decimal(38,12)")  # a sum of doubles depends on the order of the rows, which decides where the mean is 50
-    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("component"), "user_id").agg(F.avg("value").alias("m"), (F.sum(value) - 50 * F.count("value")).alias("over"))
-    m = F.when(F.abs(F.col("m") - 50) < 1e-6, 50 + F.signum("over")).otherwise(F.col("m"))
+    over = F.col("value").try_cast("decimal(38,18)") - F.lit(50)  # a sum of doubles depends on the order of the rows, which decides where the mean is 50
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("component"), "user_id").agg(F.avg("value").alias("m"), F.try_sum(over.cast("decimal(38,18)")).alias("over"))
+    m = F.when(F.abs(F.col("m") - 50) < 1e-6, F.coalesce(50 + F.signum("over"), "m")).otherwise(F.col("m"))
     own = e.select("component", F.col("user_id").cast("string").alias("paper_id"), F.when(m > 50, 1).when(m < 50, -1).otherwise(0).alias("s"))
     c = own.groupBy("component").agg(F.countDistinct("paper_id").alias("k"), F.count_if(F.col("s") > 0).alias("helps"), F.count_if(F.col("s") < 0).alias("hurts"))
     h, u = F.col("helps"), F.col("hurts")

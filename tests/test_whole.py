@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from functools import reduce
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.operators import pointers
+from tests.oracle import compare
 
 
 def test_titles_of_all_parts(spark, tmp_path):
@@ -64,6 +66,16 @@ def test_votes_of_users_whose_mean_is_the_bound(spark, tmp_path):
     assert got == {"click": (302, 1, 1), "view": (4, 2, 1)}
 
 
+def test_votes_of_last_digits_and_large_values(spark, tmp_path):
+    """One step above or below 50 is a vote, and sums too large for a decimal end no job; the SQL has the same rows in any order."""
+    rows = [(1, math.nextafter(50, 99)), (2, math.nextafter(50, 0)), (3, 50.0), (4, 9e25), (4, 9e25), (5, -9e19), (5, -9e19), (6, 1e300), (7, None)]
+    spark.createDataFrame([(u, "click", v) for u, v in rows], "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/spark")
+    next((tmp_path / "spark").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    df = catalog.QUERIES["m02_direction_votes"](spark, str(tmp_path))
+    assert compare(df, catalog.ORACLES["m02_direction_votes"], str(tmp_path)) == ""
+    assert [(r["k"], r["helps"], r["hurts"]) for r in df.collect()] == [(7, 3, 2)]
+
+
 def test_best_pages_against_all_pairs(spark):
     rnd = random.Random(8)
     words = [f"w{k}" for k in range(40)]
