@@ -182,12 +182,13 @@ def run(wanted: DataFrame, factory: Callable[[], object], at: str, budget: Budge
     done, tokens = first["n"], first["tokens"]
     if done >= total:
         return seen | {"logged": done, "logged_tokens": tokens}
-    # what is left is numbered, and exchanged once by wave and task: a wave is one job over its own partitions alone
+    # what is left is numbered and written (repeats of a batch stand together, which zstd stores once), then exchanged once by wave and task: a wave is one job over its own partitions alone
     keys = written(ranked(wanted.select(KEY).join(own.select(KEY), KEY, "left_anti"), ["repeat", "batch"], "_w"))
+    left = written(wanted.join(keys, KEY), compression="zstd")
     share, begin, n_left = min(tasks, budget.wave), 0, total - done
     try:
         place = F.floor(F.col("_w") / budget.wave) * share + F.col("_w") % share
-        parts = wanted.join(keys, KEY).repartitionById(-(-n_left // budget.wave) * share, place.cast("int")).rdd
+        parts = left.repartitionById(-(-n_left // budget.wave) * share, place.cast("int")).rdd
         moved, whole = 0, True
         while begin < n_left and whole:
             k = begin // budget.wave
@@ -207,7 +208,7 @@ def run(wanted: DataFrame, factory: Callable[[], object], at: str, budget: Budge
         if begin < n_left or not whole:
             raise BudgetExceeded(f"{done} of {total} requests done, {tokens} tokens used")
     finally:
-        free(keys)
+        free(keys, left)
     held = log(spark, at).join(wanted.select(KEY), KEY, "left_semi").agg(*totals).first()
     return seen | {"logged": held["n"], "logged_tokens": held["tokens"]}
 

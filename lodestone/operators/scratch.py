@@ -20,11 +20,11 @@ def run_and_clean(spark: SparkSession, job) -> None:
         spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """Write a table and read it again: what made it isn't run again, and its shuffle files are gone."""
     spark = df.sparkSession
     path = stored(spark)
-    run_and_clean(spark, lambda: df.write.parquet(path))
+    run_and_clean(spark, lambda: df.write.options(**options).parquet(path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
